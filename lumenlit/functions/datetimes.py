@@ -41,7 +41,7 @@ ABBREVIATIONS = {
 }
 
 _TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,]\d+)?)?"
-_AMPM = r"(?:\s*(?P<ap>[aApP])\.?[mM]\.?)?"
+_AMPM = r"(?:\s*(?P<ap>[aApP])(?:\.\s?[mM]\.?|[mM](?![A-Za-z])))?"
 _ZONE = r"(?:\s*(?P<off>[+-]\d{2}:?\d{2}|[+-]\d{2}(?!\d)|[zZ](?![A-Za-z]))?\s*(?:\[(?P<br>[A-Za-z_/+\-0-9]+)\]|\(?(?P<zone>[A-Za-z]+/[A-Za-z_]+(?:/[A-Za-z_]+)?|[A-Z]{2,5})\)?)?)"
 _CLOCK = rf"(?:,?\s+|[Tt]|,\s*)(?:(?:at|um|à|a las)\s+)?{_TIME}(?:\s*Uhr)?{_AMPM}{_ZONE}"
 _WORD = r"[^\W\d_]{3,10}"
