@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlit.llm import components, topn, truth
+from lumenlit.llm import components, topn, truth, visual
 from lumenlit.sources.tables import table
 
 
@@ -25,7 +25,15 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_candidates(candidates, scores).select("site_code", "run_id", "place", "candidate_id")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return visual.look_alikes(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return visual.consistent_texts(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "form", "mixed_tokens")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
 
 SQL = {
     "p3_found": """
