@@ -122,7 +122,7 @@ def consistent_form(text: str | None) -> tuple[str | None, int]:
     spelled: dict[str, str] = {}
     for t, found in scripts.items():
         script = prevailing if prevailing in found else next(iter(found)) if len(found) == 1 else "LATIN"
-        if script != prevailing and 2 * sum(c not in _CLASSES for c in t) < len(t):
+        if script != prevailing and 2 * sum(c not in _CLASSES for c in t) <= len(t):
             script = "LATIN"  # a few foreign letters, as in PI3Kα, don't turn their neighbours into foreign ones
         table = _SPELLING.get(script, {}) if found else {}
         spelled[t] = "".join(table.get(c, c) for c in t)
