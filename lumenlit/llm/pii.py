@@ -29,6 +29,8 @@ GIVEN_NAMES = set(
 _HONORIFICS = r"(?:(?:PD|Priv\.-Doz\.|Prof|Dr|Doctor|Professor|Mr|Mrs|Ms|Miss|Mx|Mme|Mlle|Monsieur|Madame|Herr|Frau|Herrn|Señora|Señor|Sra|Sr|Dra|Sir|Dame|Nurse|Schwester)\.?)"
 # Words that make the words beside them an institution, a score or a role rather than a person.
 _NOT_PERSON = set("team board group centre center clinic hospital university institute department ward unit society index score criteria criterion margin scale trial study cohort method test rule staging syndrome disease stain type criteria editor reader anonymous fellow nurse resident watcher desk support admin office pharmacy tumor tumour the a an our this".split())
+# Words that begin a sentence or close a letter, and so are no part of the name before or after them.
+_STARTERS = set("a an and are as ask at agree also best but by call cc contact dear die der das dose el for from follow great greetings hello her hi his how i if in is it kind la las le les lives los many merci my no not of on once order our please pmid post protocol reach regards send see she he signed sincerely since stage still survival text thank thanks that the their there they this to updated visit wall was we were what when why with write you your yours bitte doi nct mrn ssn nhs".split())
 _DEGREES = r"(?:,?\s*(?:MD|PhD|MBBS|FRCR|MSc|BSc|RN|DO|DPhil|Jr|Sr)\b\.?)*"
 
 _LOCAL = r"[A-Za-z0-9À-ÿ](?:[A-Za-z0-9À-ÿ._%+'-]*[A-Za-z0-9À-ÿ_+-])?"
@@ -36,10 +38,13 @@ _AT = r"(?:\s?[@＠]\s?|\s*[\[({<]\s*(?:at|AT|At|@)\s*[\])}>]\s*|\s+(?:at|AT)\s+
 _DOT = r"(?:\s?[.．]\s?|\s*[\[({<]\s*(?:dot|DOT|Dot|\.)\s*[\])}>]\s*|\s+(?:dot|DOT)\s+)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _EMAIL = re.compile(rf"(?<![\w.+-])(?:mailto:)?<?(?P<local>{_LOCAL})(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL})*?(?P<dot>{_DOT})(?P<tld>[A-Za-z]{{2,12}}))(?![\w@])>?")
-_EMAIL_GATE = re.compile(r"[@＠]|\b(?:at|AT|At)\b")
+_AT_SIGNS = ("@", "＠", " at ", " AT ", "(at", "(AT", "[at", "[AT", "{at", "<at", "( at", "[ at", "(At", "[At", "At ")
 
 _ID_LABEL = r"(?P<label>NHS(?:\s+(?:no|number|nr))?|SSN|social\s+security(?:\s+(?:no|number|nr))?|(?:national\s+)?insurance\s+(?:no|number|nr)|NINO?|MRN|(?:hospital|patient|medical\s+record|record|case)\s+(?:no|number|nr|id)|passport(?:\s+(?:no|number|nr))?|(?:national\s+)?ID(?:\s+(?:card|number|no|nr))|identity\s+card|DNI|NIE|NIF|CPF|NIR|SIN|Personalausweis(?:nummer)?|Ausweis(?:nummer)?|Versicherten(?:nummer|nr)|Reisepass|personnummer|PESEL|BSN|AHV(?:-Nr)?|numéro\s+de\s+sécurité\s+sociale|Steuer-?ID|tax\s+id)"
 _ID_LABELLED = re.compile(rf"(?<!\w){_ID_LABEL}[.:#]?\s*(?:is|:|#|no\.?|nr\.?)?\s*(?P<value>(?=[A-Z0-9/ .-]*\d)[A-Z0-9](?:[A-Z0-9]|[ ./-](?=[A-Z0-9/]*\d|[A-D](?![A-Za-z])|[A-Z]\d))*)(?![A-Za-z])", re.I)
+# Lower-case words that the labels above begin with.
+_ID_WORDS = set("nhs ssn social national insurance nin nino mrn hospital patient medical record case passport id identity dni nie nif cpf nir sin personalausweis personalausweisnummer ausweis ausweisnummer versicherten versichertennummer versichertennr reisepass personnummer pesel bsn ahv numéro steuer steuerid tax".split())
+_ID_GATE = re.compile(r"(?<![\w.-])(?:\d{3}[- ]\d{2,3}[- ]\d{4}|\d{8}-?[A-Z]|[XYZ]\d{7}|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}|[12]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}|\d{6}[-+]\d{4})")
 _ID_BARE = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("dni", re.compile(r"(?<![\w-])(?:\d{8}|[XYZ]\d{7})-?[A-Z](?![\w-])")),
@@ -58,7 +63,9 @@ _ADDRESS = re.compile(
     r"|(?<!\w)(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Via|Viale|Piazza|Rua|Carrer)\s+(?:(?:de|del|la|las|los|el|da|do|della|di)\s+)*[A-ZÀ-Þ][\w'’-]*(?:\s(?:de\s+)?[A-ZÀ-Þ][\w'’-]*)?,?\s+(?:n[ºo°.]\s*)?\d{1,4}(?:,\s*\d{1,2}\s?[ºª°][A-Za-z]?\w*)?"
     r"|(?<!\w)[A-ZÀ-Þ][\wß-]*(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|chaussee|gatan|vägen|laan|straat)\s+\d{1,4}\s?[a-z]?(?!\w)(?:,\s*\d{4,5}\s+[A-ZÀ-Þ][\w-]+|,\s*[A-ZÀ-Þ][\w-]+)?"
 )
-_ADDRESS_GATE = re.compile(r"\d{1,5}[A-Za-z]?,?\s+[A-Za-zÀ-ÿ']+\s|Box|Postfach|Apartado|postale|[^\W\d_]\s+\d", re.I)
+# Lower-case words and word ends without which nothing above can match.
+_ADDRESS_WORDS = set("street st road rd avenue ave lane ln drive close court ct terrace row bank way place pl square sq crescent cres gardens grove hill mews parade walk boulevard blvd rise wharf yard quay highway hwy parkway box postfach apartado postale bp rue chemin impasse allée quai calle c avenida avda plaza paseo via viale piazza rua carrer".split())
+_ADDRESS_ENDS = ("straße ", "strasse ", "str. ", "weg ", "allee ", "gasse ", "platz ", "ring ", "damm ", "ufer ", "chaussee ", "gatan ", "vägen ", "laan ", "straat ")
 
 _PHONE = [
     (0.9, re.compile(r"(?<![\w+])(?:tel:)?(?:\+|00)\s?[1-9]\d{0,2}[\s.(/-]*(?:\(0\)\s?)?(?:\(?\d{1,5}\)?[\s./-]{0,3}){1,6}\d{2,4}(?![\w-])")),
@@ -70,14 +77,15 @@ _PHONE = [
     (0.5, re.compile(r"(?<![\w.-])[2-9]\d{2}[2-9]\d{6}(?![\w-])")),
     (0.25, re.compile(r"(?<![\w.-])[2-9]\d{2} [2-9]\d{2} \d{4}(?![\w-])")),
 ]
+_PHONE_GATE = re.compile(r"(?<!\w)(?:(?:tel:)?\+|00)\s?[1-9]|\(0?\d{2,4}\)\s?\d{3}|(?<![\w.-])(?:0[1-9][ .]\d{2}[ .]|0\d{2,4}[ /-]\d{3}|[2-9]\d{2}(?:\s?[./-]?\s?[2-9]\d{2}\s?[./-]?\s?\d{4}|\W{1,3}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)))", re.I)
 _PHONE_CUE = re.compile(r"(?:\b(?:call|ring|text|phone|tel|telephone|mobile|cell|pager|fax|reach|direct|line|joignable|whatsapp|sms|desk|answers)\b)[^.!?]{0,25}$", re.I)
 _PHONE_CUE_AFTER = re.compile(r"^\W{0,3}(?:is my (?:direct )?(?:line|number|cell)|ext\b|after clinic|if urgent)", re.I)
 _COUNT_CUE = re.compile(r"(?:\b(?:order(?:\s+set)?|pmid|doi|lot|protocol|version|cost(?:\s+was)?|units?|isrctn|nct|no\.|item|ref|batch|invoice|record)\b|[np]=)[ :#=-]{0,3}(?:\w+[ :#-]{1,2})?$", re.I)
 _COUNT_AFTER = re.compile(r"^\s*(?:units|mg|ml|gy|patients|participants|records|euros?|dollars|%)", re.I)
-_DIGITS = re.compile(r"\d\D{0,4}\d\D{0,4}\d")
 
+_PLAIN_WORD = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_TITLED = re.compile(rf"(?<![\w@.+-]){_HONORIFICS}(?:\s+{_HONORIFICS})*\s+(?P<name>(?:[A-ZÀ-Þ]\.\s*)*[A-ZÀ-Þ][^\W\d_]*(?:[-'’][^\W\d_]+)*(?:,?\s+[A-ZÀ-Þ](?:\.|[^\W\d_]*(?:[-'’][^\W\d_]+)*))?)")
+_TITLED = re.compile(rf"(?<![\w@.+-]){_HONORIFICS}(?:[^\S\n]+{_HONORIFICS})*[^\S\n]+(?P<name>(?:[A-ZÀ-Þ]\.\s*)*[A-ZÀ-Þ][^\W\d_]*(?:[-'’][^\W\d_]+)*(?:,?[^\S\n]+[A-ZÀ-Þ](?:\.|[^\W\d_]*(?:[-'’][^\W\d_]+)*))?)")
 _INITIALS = re.compile(r"(?<![\w@.+-])(?:[A-ZÀ-Þ]\.\s{0,3})+[A-ZÀ-Þ][^\W\d_]{2,}(?:[-'’][A-ZÀ-Þ][^\W\d_]+)?(?![\w@-])")
 _NAME_CUE = re.compile(r"(?:\b(?:signed|greetings|regards|yours|sincerely|dear|hi|hello|hallo|bonjour|ask|thanks to|thank|my patient|patient|as|discussed this with|with|cc|from|by|colleague|contact|name is|named|called|merci à|danke|gracias a|frau|herr)[,:]?|--)\s*$", re.I)
 _NAME_CUE_AFTER = re.compile(r"^[,\s]*(?:disagree|raised|said|say|had the same|yesterday|about dosing|for the reference|wrote|write|report|ask|told|suggest|argue|agree|note|think|call|present|confirm|MD\b|PhD\b|$|\n|\()", re.I)
@@ -109,7 +117,7 @@ _CHECKS = {"dni": (0.3, _dni, 0.3), "nhs": (0.1, _mod11, 0.35), "nir": (0.2, mod
 
 
 def _emails(text: str) -> list[tuple[int, int, float]]:
-    if not _EMAIL_GATE.search(text):
+    if not any(sign in text for sign in _AT_SIGNS):
         return []
     out, at = [], 0
     while m := _EMAIL.search(text, at):
@@ -131,33 +139,35 @@ def _emails(text: str) -> list[tuple[int, int, float]]:
     return out
 
 
-def _ids(text: str) -> list[tuple[int, int, float]]:
-    if not _DIGITS.search(text):
-        return []
+def _ids(text: str, words: set[str]) -> list[tuple[int, int, float]]:
     out = []
-    for m in _ID_LABELLED.finditer(text):
-        value = m["value"]
-        digits = sum(c.isdigit() for c in value)
-        score = 0.85 if digits >= 5 else 0.2
-        if m["label"].upper() in ("DNI", "NIE", "NIF") and not _dni(value):
-            score -= 0.1
-        out.append((m.start("value"), m.end("value"), score))
-    for kind, pattern in _ID_BARE:
-        for m in pattern.finditer(text):
-            base, check, bonus = _CHECKS[kind]
-            score = base + (bonus if check and check(m[0]) else 0)
-            if _COUNT_CUE.search(text[max(0, m.start() - 24) : m.start()]) or _COUNT_AFTER.match(text[m.end() : m.end() + 12]):
-                score -= 0.5
-            out.append((m.start(), m.end(), score))
+    if not _ID_WORDS.isdisjoint(words):
+        for m in _ID_LABELLED.finditer(text):
+            value = m["value"]
+            digits = sum(c.isdigit() for c in value)
+            score = 0.85 if digits >= 5 else 0.2
+            if m["label"].upper() in ("DNI", "NIE", "NIF") and not _dni(value):
+                score -= 0.1
+            out.append((m.start("value"), m.end("value"), score))
+    if _ID_GATE.search(text):
+        for kind, pattern in _ID_BARE:
+            for m in pattern.finditer(text):
+                base, check, bonus = _CHECKS[kind]
+                score = base + (bonus if check and check(m[0]) else 0)
+                if _COUNT_CUE.search(text[max(0, m.start() - 24) : m.start()]) or _COUNT_AFTER.match(text[m.end() : m.end() + 12]):
+                    score -= 0.5
+                out.append((m.start(), m.end(), score))
     return [x for x in out if x[2] >= THRESHOLD]
 
 
-def _addresses(text: str) -> list[tuple[int, int, float]]:
-    return [(m.start(), m.end(), 0.8) for m in _ADDRESS.finditer(text)] if _ADDRESS_GATE.search(text) else []
+def _addresses(text: str, words: set[str], low: str) -> list[tuple[int, int, float]]:
+    if _ADDRESS_WORDS.isdisjoint(words) and not any(end in low for end in _ADDRESS_ENDS):
+        return []
+    return [(m.start(), m.end(), 0.8) for m in _ADDRESS.finditer(text)]
 
 
 def _phones(text: str) -> list[tuple[int, int, float]]:
-    if not _DIGITS.search(text):
+    if not _PHONE_GATE.search(text):
         return []
     out = []
     for base, pattern in _PHONE:
@@ -174,11 +184,11 @@ def _phones(text: str) -> list[tuple[int, int, float]]:
     return [x for x in out if x[2] >= THRESHOLD]
 
 
-def _names(text: str, display: bool) -> list[tuple[int, int, float]]:
-    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
-    lowered = [w.lower() for _, _, w in words]
+def _names(text: str, display: bool, known: set[str]) -> list[tuple[int, int, float]]:
     out = []
-    if not GIVEN_NAMES.isdisjoint(lowered):
+    if not GIVEN_NAMES.isdisjoint(known):
+        words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+        lowered = [w.lower() for _, _, w in words]
         for i, (start, end, word) in enumerate(words):
             if lowered[i] not in GIVEN_NAMES or (start and text[start - 1] in "@_+") or text[end : end + 1] in ("@", "_") or re.match(r"[-+.]?\d", text[end : end + 2]):
                 continue
@@ -186,7 +196,7 @@ def _names(text: str, display: bool) -> list[tuple[int, int, float]]:
             titled = word[0].isupper()
             partner = 0.0
             after, before = text[end : words[i + 1][0]] if i + 1 < len(words) else None, text[words[i - 1][1] : start] if i else None
-            if after is not None and words[i + 1][2][0].isupper() == titled and re.fullmatch(r"\s+|\s+", after) and lowered[i + 1] not in _NOT_PERSON:
+            if after is not None and words[i + 1][2][0].isupper() == titled and re.fullmatch(r"\s+|\s+", after) and lowered[i + 1] not in _NOT_PERSON and lowered[i + 1] not in _STARTERS and words[i + 1][2].isupper() <= word.isupper() + (len(words[i + 1][2]) == 1):
                 follower = words[i + 1]
                 if len(follower[2]) == 1 and text[follower[1] : follower[1] + 1] == ".":
                     partner, last = 0.25, follower[1] + 1
@@ -194,7 +204,7 @@ def _names(text: str, display: bool) -> list[tuple[int, int, float]]:
                         last = words[i + 2][1]
                 elif len(follower[2]) > 2:
                     partner, last = (0.2 if titled else 0.15), follower[1]
-            if not partner and before is not None and len(words[i - 1][2]) > 2 and words[i - 1][2][0].isupper() == titled and re.fullmatch(r",?\s+", before) and lowered[i - 1] not in _NOT_PERSON and not re.search(r"[^\W\d_]\W*$", text[: words[i - 1][0]][-1:] or ""):
+            if not partner and before is not None and len(words[i - 1][2]) > 2 and words[i - 1][2][0].isupper() == titled and re.fullmatch(r",?\s+", before) and lowered[i - 1] not in _NOT_PERSON and lowered[i - 1] not in _STARTERS and not re.search(r"[^\W\d_]\W*$", text[: words[i - 1][0]][-1:] or ""):
                 partner, first = (0.2 if titled else 0.1), words[i - 1][0]
             score = (0.4 if titled else 0.2) + partner + (0.25 if display else 0.0)
             left, right = text[max(0, first - 24) : first], text[last : last + 24]
@@ -207,8 +217,10 @@ def _names(text: str, display: bool) -> list[tuple[int, int, float]]:
             out.append((first, last, score))
     for m in _TITLED.finditer(text):
         name = m["name"]
-        if _WORD.match(name) and _WORD.match(name)[0].lower() not in _NOT_PERSON:
-            out.append((m.start("name"), m.end("name"), 0.75))
+        parts = _WORD.findall(name)
+        if parts and parts[0].lower() not in _NOT_PERSON:
+            over = parts[-1].lower() in _STARTERS and len(parts) > 1
+            out.append((m.start("name"), m.start("name") + (len(name[: name.rindex(parts[-1])].rstrip(" ,")) if over else len(name)), 0.75))
     for m in _INITIALS.finditer(text):
         left, right = text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 24]
         out.append((m.start(), m.end(), 0.3 + 0.25 * bool(_NAME_CUE.search(left)) + 0.25 * bool(_NAME_CUE_AFTER.match(right)) + (0.3 if display else 0.0)))
@@ -223,9 +235,10 @@ def spans(text: str | None, display: bool = False) -> list[tuple[int, int, str,
     """Disjoint (start, end, kind, score) spans in order of place; none in a null or empty text."""
     if not text:
         return []
-    left, found = text, []
+    left, found, low = text, [], text.lower()
+    words = set(_PLAIN_WORD.findall(low))
     for kind in KINDS:
-        hits = _emails(left) if kind == "email" else _ids(left) if kind == "id_number" else _addresses(left) if kind == "address" else _phones(left) if kind == "phone" else _names(left, display)
+        hits = _emails(left) if kind == "email" else _ids(left, words) if kind == "id_number" else _addresses(left, words, low) if kind == "address" else _phones(left) if kind == "phone" else _names(left, display, words)
         for start, end, score in sorted(hits, key=lambda x: (-x[2], x[0], -x[1])):
             if "\x00" not in left[start:end]:
                 found.append((start, end, kind, score))

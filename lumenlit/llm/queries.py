@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlit.llm import components, topn, truth, visual
+from lumenlit.llm import components, pii, topn, truth, visual
 from lumenlit.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_kinds(table(spark, folder, "comments", "comment_id", "content", "display_name"))
+
+
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(table(spark, folder, "comments", "comment_id", "display_name", "content"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     signals = table(spark, folder, "oncology_signals", "record_no", "signal_id", "signal_title", "intervention", "updated_at")
     evidence = table(spark, folder, "evidence_sources", "record_no", "source_type")
@@ -33,7 +41,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.consistent_texts(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "form", "mixed_tokens")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
 
 SQL = {
     "p3_found": """
