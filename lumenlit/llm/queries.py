@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlit.llm import components, pii, topn, truth, visual
+from lumenlit.llm import components, pii, topn, truncation, truth, visual
 from lumenlit.sources.tables import table
 
 
@@ -22,6 +22,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return truth.surviving_records(signals, evidence, table(spark, folder, "source_trust"))
 
 
+def source_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every abstract and summary in the shape that the truncation operator takes."""
+    news = table(spark, folder, "news_records", "news_id", "source_key", "abstract").selectExpr("'news_records' table_name", "news_id record_id", "source_key source", "abstract text")
+    return news.unionByName(table(spark, folder, "fda_items", "fda_id", "source", "summary").selectExpr("'fda_items' table_name", "fda_id record_id", "source", "summary text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_scores(source_texts(spark, folder)).where("cut").select("table_name", "record_id")
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(truncation.truncation_scores(source_texts(spark, folder)))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = table(spark, folder, "match_pairs", "left_id", "right_id", "status", "decided_at")
     return components.evidence_groups(table(spark, folder, "evidence_sources", "evidence_id"), pairs)
@@ -41,7 +55,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.consistent_texts(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "form", "mixed_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
 
 SQL = {
     "p3_found": """
