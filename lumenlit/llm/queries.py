@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlit.llm import components, pii, topn, truncation, truth, visual
+from lumenlit.llm import components, linkage, pii, topn, truncation, truth, visual
 from lumenlit.sources.tables import table
 
 
@@ -47,6 +47,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_candidates(candidates, scores).select("site_code", "run_id", "place", "candidate_id")
 
 
+def matched_works(spark: SparkSession, folder: str) -> DataFrame:
+    evidence = table(spark, folder, "evidence_sources", "evidence_id", "title", "doi", "trial_name", "nct_id", "journal", "publication_date")
+    catalog = table(spark, folder, "source_catalog", "catalog_id", "title", "doi", "trial_label", "nct_number", "venue", "pub_year")
+    return linkage.works_of_evidence(evidence, catalog)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return matched_works(spark, folder).select("evidence_id", "catalog_id")
+
+
+def p7_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return matched_works(spark, folder)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual.look_alikes(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -55,7 +69,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.consistent_texts(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "form", "mixed_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_confidence": p7_confidence, "p10_found": p10_found, "p10_forms": p10_forms}
 
 SQL = {
     "p3_found": """
