@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlit.llm import components, linkage, pii, topn, truncation, truth, visual
+from lumenlit.llm import components, linkage, mixing, packing, pii, tokens, topn, truncation, truth, visual
+from lumenlit.scratch import Scratch
 from lumenlit.sources.tables import table
 
 
@@ -61,6 +62,27 @@ def p7_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return matched_works(spark, folder)
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(tokens.sized(table(spark, folder, "documents", "doc_id", "text")))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, folder))
+
+
+def mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = Scratch(spark, "sizes").cut(tokens.sized(table(spark, folder, "documents", "doc_id", "source", "text"), "source"), "sized")
+    return mixing.mix(documents, table(spark, folder, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(spark, folder)[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual.look_alikes(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -69,7 +91,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.consistent_texts(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "form", "mixed_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_confidence": p7_confidence, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_confidence": p7_confidence, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
 
 SQL = {
     "p3_found": """

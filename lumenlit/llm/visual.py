@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlit.scratch import Scratch
+
 # Letters drawn alike, as (Latin, Cyrillic, Greek); a dot where a script has none.
 TWINS = (
     ("A", "А", "Α"), ("B", "В", "Β"), ("C", "С", "Ϲ"), ("E", "Е", "Ε"), ("H", "Н", "Η"), ("I", "І", "Ι"), ("J", "Ј", "Ϳ"), ("K", "К", "Κ"),
@@ -153,6 +155,7 @@ def look_alikes(documents: DataFrame) -> DataFrame:
     with each other; a repeated doc_id counts once per stored text.
     """
     members = consistent_texts(documents.where("text is not null and doc_id is not null")).select("doc_id", F.md5("form").alias("look"), F.md5("text").alias("stored"))
+    members = Scratch(documents.sparkSession, "look-alikes").cut(members, "members")  # the forms are worked out once
     varied = members.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("look")
     members = members.join(varied, "look", "left_semi").distinct()
     classes = members.select("look", "stored").distinct()
