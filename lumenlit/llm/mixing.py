@@ -68,6 +68,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mixing")
+    documents = documents.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
     plan = _plan(documents, targets, total)
     schema = "source string, share double, repeats int, have long, passes int, part double"
     parts = spark.createDataFrame([tuple(p.values()) for p in plan], schema)
