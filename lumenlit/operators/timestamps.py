@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -116,21 +115,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chain a source's block matrices and fix each block's end readings."""
-    pdf = pdf.sort_values(["part", "block"])
-    parts, blocks, summaries = pdf["part"].tolist(), pdf["block"].tolist(), pdf["summary"].tolist()
+def chain_blocks(summaries: list[dict]) -> list[int]:
+    """Chain one source's block matrices in order; the picked (first, last) pair of each block."""
     best: list[float] = []
     trail: list[list[tuple[int, int]]] = []  # per block and end reading: the first reading used, the end reading before
     for i, s in enumerate(summaries):
         first, last = len(s["first_form"]), len(s["last_form"])
-        entry = []
-        for f in range(first):
-            if i:
-                p = summaries[i - 1]
-                entry.append(min((best[j] + step_cost(p["last_form"][j], p["last_at"][j], s["first_form"][f], s["first_at"][f]), j) for j in range(len(best))))
-            else:
-                entry.append((0.0, 0))
+        entry = [(0.0, 0)] * first
+        if i:
+            p = summaries[i - 1]
+            entry = [min((best[j] + step_cost(p["last_form"][j], p["last_at"][j], s["first_form"][f], s["first_at"][f]), j) for j in range(len(best))) for f in range(first)]
         now, came = [], []
         for end in range(last):
             c, f = min((entry[f][0] + s["cost"][f * last + end], f) for f in range(first))
@@ -141,9 +135,34 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     picks, end = [], min(range(len(best)), key=best.__getitem__)
     for i in range(len(summaries) - 1, -1, -1):
         f, before = trail[i][end]
-        picks.append((parts[i], blocks[i], f * len(summaries[i]["last_form"]) + end))
+        picks.append(f * len(summaries[i]["last_form"]) + end)
         end = before
-    return pd.DataFrame(picks, columns=["part", "block", "pick"]).astype("int32")
+    return picks[::-1]
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream block summaries sorted by source and place; only one source's summaries are held."""
+    types = [pa.int32()] * 3
+    keys: list[tuple[int, int]] = []
+    held: list[dict] = []
+
+    def close() -> list[tuple[int, int, int]]:
+        done = [(part, block, pick) for (part, block), pick in zip(keys, chain_blocks(held))] if held else []
+        keys.clear()
+        held.clear()
+        return done
+
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for part, block, summary in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "summary"))):
+            if held and held[-1]["source"] != summary["source"]:
+                out += close()
+            keys.append((part, block))
+            held.append(summary)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "block", "pick"])
+    if out := close():
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "block", "pick"])
 
 
 def normalise_timestamps(values: DataFrame, strict: bool = True) -> DataFrame:
@@ -170,7 +189,8 @@ def normalise_timestamps(values: DataFrame, strict: bool = True) -> DataFrame:
     )
     ordered = ordered.repartitionByRange("source", "delivered", "table_name", "record_id").sortWithinPartitions("source", "delivered", "table_name", "record_id", "raw")
     read = scratch.cut(ordered.mapInArrow(_blocks, _ROW_SCHEMA), "read")
-    picks = read.where("summary is not null").select("part", "block", "summary").groupBy("summary.source").applyInPandas(_chain, "part int, block int, pick int")
+    blocks = read.where("summary is not null").select("part", "block", "summary").repartition(F.col("summary.source")).sortWithinPartitions("summary.source", "part", "block")
+    picks = blocks.mapInArrow(_chains, "part int, block int, pick int")
     rows = read.select("table_name", "record_id", "delivered", "part", "block", "moments", "contrary", "choice").join(picks, ["part", "block"])
     index = F.element_at("choice", F.col("pick") + 1) + 1
     rows = rows.select("table_name", "record_id", "delivered", F.element_at("moments", index).alias("moment"), F.element_at("contrary", index).alias("contrary"))
