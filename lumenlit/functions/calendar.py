@@ -13,7 +13,8 @@ def lenient_date(value: Column) -> Column:
     parts = F.split(F.substring(F.trim(value), 1, 10), "-")
     part = lambda i: F.coalesce(F.nullif(F.try_element_at(parts, F.lit(i)), F.lit("")), F.lit("1"))
     text = F.concat_ws("-", F.lpad(part(1), 4, "0"), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-    return F.when((F.size(parts) <= 3) & text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    sound = part(1).rlike(r"^\d{1,4}$") & part(2).rlike(r"^\d{1,2}$") & part(3).rlike(r"^\d{1,2}$")
+    return F.when((F.size(parts) <= 3) & sound, F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def strict_date(value: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlit.functions.text import collapsed
@@ -14,17 +15,33 @@ BANDS = 16
 
 
 @F.pandas_udf("double")
-def sequence_ratio(new: pd.Series, kept: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters; the order of the arguments matters. Empty texts are like nothing."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(new, kept)], dtype="float64")
-
-
-def band_keys(text: Column, bands: int = BANDS) -> Column:
-    """MinHash keys of a text: per band, the least hash of its words and the least of its four-character pieces."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1))), lambda i: F.substring(text, i, F.lit(4)))
-    key = lambda i, parts: F.xxhash64(F.lit(i), F.array_min(F.transform(parts, lambda w: F.xxhash64(w, F.lit(i)))))
-    return F.array_distinct(F.array(*[F.xxhash64(key(i, words), key(i + 1000, words)) for i in range(bands // 2)], *[F.xxhash64(key(i, pieces), key(i + 2000, pieces)) for i in range(bands // 2)]))
+def sequence_ratio(new: pd.Series, kept: pd.Series, least: pd.Series) -> pd.Series:
+    """Twice the matching characters over all characters; the order of the arguments matters. Empty texts are like nothing, and what an upper bound shows to miss ``least`` counts as 0."""
+    out, matcher = [], SequenceMatcher(None)
+    for a, b, bound in zip(new, kept, least):
+        if not a or not b:
+            out.append(0.0)
+            continue
+        matcher.set_seqs(a, b)
+        out.append(matcher.ratio() if matcher.quick_ratio() >= bound else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf("array<long>")
+def band_keys(texts: pd.Series) -> pd.Series:
+    """MinHash keys of texts: per band, two least hashes of their pieces of four characters."""
+    seeds = np.random.default_rng(7).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = []
+    for text in texts:
+        codes = np.frombuffer((text + "   " if len(text) < 4 else text).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        pieces = np.zeros(len(codes) - 3, np.uint64)
+        for j in range(4):
+            pieces = pieces * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(pieces)]
+        pieces = np.unique((pieces ^ (pieces >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+        least = (pieces[:, None] * seeds).min(axis=0).reshape(BANDS, 2)
+        keys = (least[:, 0] ^ (least[:, 1] >> np.uint64(1))) * np.uint64(0x94D049BB133111EB) + np.arange(BANDS, dtype=np.uint64)
+        out.append(np.unique(keys.astype(np.int64)).tolist())
+    return pd.Series(out)
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float, others: DataFrame | None = None) -> DataFrame:
@@ -43,4 +60,4 @@ def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float, others
     pairs = keyed(one, "first", "la").join(keyed(two, "second", "lb"), "band").where(bound)
     pairs = (pairs if others is not None else pairs.where("first < second")).select("first", "second").distinct()
     joined = pairs.join(one.select(F.col("k").alias("first"), F.col("t").alias("ta")), "first").join(two.select(F.col("k").alias("second"), F.col("t").alias("tb")), "second")
-    return joined.withColumn("ratio", F.when(F.col("ta") == F.col("tb"), F.lit(1.0)).otherwise(sequence_ratio("tb", "ta"))).where(F.col("ratio") >= threshold).select("first", "second", "ratio")
+    return joined.withColumn("ratio", F.when(F.col("ta") == F.col("tb"), F.lit(1.0)).otherwise(sequence_ratio("tb", "ta", F.lit(threshold)))).where(F.col("ratio") >= threshold).select("first", "second", "ratio")
