@@ -10,8 +10,8 @@ from lumenlit.conf import vocabulary as V
 
 def lenient_date(value: Column) -> Column:
     """The date in the first ten characters, split on hyphens; a missing month or day counts as the first. Null if unreadable."""
-    parts = F.split(F.substring(F.trim(value), 1, 10), "-")
-    part = lambda i: F.coalesce(F.nullif(F.try_element_at(parts, F.lit(i)), F.lit("")), F.lit("1"))
+    parts = F.split(F.substring(F.regexp_replace(value, r"^[\s\x{a0}]+", ""), 1, 10), "-")
+    part = lambda i: F.coalesce(F.nullif(F.try_element_at(parts, F.lit(i)), F.lit("")), F.lit("1" if i > 1 else ""))
     text = F.concat_ws("-", F.lpad(part(1), 4, "0"), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
     sound = part(1).rlike(r"^\d{1,4}$") & part(2).rlike(r"^\d{1,2}$") & part(3).rlike(r"^\d{1,2}$")
     return F.when((F.size(parts) <= 3) & sound, F.try_to_date(text, "yyyy-MM-dd"))
