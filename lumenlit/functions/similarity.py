@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlit.functions.text import collapsed
 
 BANDS = 16
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(new: pd.Series, kept: pd.Series, least: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters; the order of the arguments matters. Empty texts are like nothing, and what an upper bound shows to miss ``least`` counts as 0."""
     out, matcher = [], SequenceMatcher(None)
@@ -27,7 +28,7 @@ def sequence_ratio(new: pd.Series, kept: pd.Series, least: pd.Series) -> pd.Seri
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def band_keys(texts: pd.Series) -> pd.Series:
     """MinHash keys of texts: per band, two least hashes of their pieces of four characters."""
     seeds = np.random.default_rng(7).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlit.conf import vocabulary as V
 
@@ -124,6 +125,6 @@ def first_json_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_object(texts: pd.Series) -> pd.Series:
     return texts.map(first_json_object)

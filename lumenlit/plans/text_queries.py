@@ -104,7 +104,7 @@ for _c, _e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("
     _escape = f"replace({_escape}, '{_c}', '{_e}')"
 
 SQL = {
-    "pub_window": f"SELECT candidate_id FROM (SELECT candidate_id, trim(substr(trim(publication_date), 1, 10)) AS p FROM candidates) WHERE coalesce({_date.format(c='p')} BETWEEN DATE '2023-06-30' - 365 AND DATE '2023-06-30', true)",
+    "pub_window": f"SELECT candidate_id FROM (SELECT candidate_id, trim(substr(regexp_replace(publication_date, '^[\\s\\x{{a0}}]+', ''), 1, 10)) AS p FROM candidates) WHERE coalesce({_date.format(c='p')} BETWEEN DATE '2023-06-30' - 365 AND DATE '2023-06-30', true)",
     "lenient_dates": f"SELECT candidate_id, CAST({_date.format(c='publication_date')} AS VARCHAR) AS day FROM candidates",
     "rolling_lookback": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 10 DAYS",
     "meeting_active": f"""
