@@ -52,11 +52,9 @@ def any_word(terms: Sequence[str], whole: bool = True) -> str:
 
 def names_match(value: Column, names: Sequence[str], least: int = 0) -> Column:
     """Whether a lower-case value equals, contains or is contained in one of the names; the latter two from ``least`` characters of the name on. An empty value is contained in every name."""
-    hits = [value.isin(list(names))] + [F.lit(len(n) >= least) & (value.contains(n) | F.lit(n).contains(value)) for n in names]
-    found = hits[0]
-    for hit in hits[1:]:
-        found = found | hit
-    return F.coalesce(found, F.lit(False))
+    long_ones = [n for n in names if len(n) >= least]
+    loose = (value.rlike("|".join(map(re.escape, long_ones))) | F.lit("|".join(long_ones)).contains(value)) if long_ones else F.lit(False)
+    return F.coalesce(value.isin(list(names)) | loose, F.lit(False))
 
 
 def name_rank(value: Column, names: Sequence[str], default: int) -> Column:

@@ -21,10 +21,15 @@ def hit(column: str, pattern: str, engine: str = "spark") -> str:
     return f"{column} RLIKE r{quoted(pattern)}" if engine == "spark" else f"regexp_matches({column}, {quoted(pattern)})"
 
 
-def journal_test(column: str, journals: list[str], least: int) -> str:
-    """Equal, or containing or contained from ``least`` characters on; a missing journal is none."""
-    loose = " OR ".join(f"contains({column}, {quoted(j)}) OR contains({quoted(j)}, {column})" for j in journals if len(j) >= least)
-    return f"({column} <> '' AND ({column} IN ({', '.join(map(quoted, journals))}) OR {loose}))"
+def journal_test(column: str, journals: list[str], least: int, engine: str = "spark") -> str:
+    """Equal, or containing or contained from ``least`` characters on; a missing journal is none.
+
+    The names are one pattern and one text each, so the list's length does not
+    lengthen the generated code.
+    """
+    long_ones = [j for j in journals if len(j) >= least]
+    inside = hit(column, "|".join(long_ones), engine)
+    return f"({column} <> '' AND (contains({quoted('|' + '|'.join(journals) + '|')}, concat('|', {column}, '|')) OR {inside} OR contains({quoted('|'.join(long_ones))}, {column})))"
 
 
 def signal_rules(engine: str = "spark") -> list[rules.Rule]:
@@ -44,7 +49,7 @@ def signal_rules(engine: str = "spark") -> list[rules.Rule]:
         (f"{h(V.PROSPECTIVE)} AND {h(V.RADIOTHERAPY_CHANGE)}", "DIRECT_RADONC_TRIAL"),
         (f"{h(V.PHASE_2)} AND {h(V.REGULATORY)}", "REGULATORY_PHASE_II"),
         (h(V.META_ANALYSIS), "META_ANALYSIS"),
-        (f"{journal_test('journal_', V.TOP_JOURNALS, 8)} AND {h(V.TOP_JOURNAL_RESULT)}", "TOP_JOURNAL"),
+        (f"{journal_test('journal_', V.TOP_JOURNALS, 8, engine)} AND {h(V.TOP_JOURNAL_RESULT)}", "TOP_JOURNAL"),
     ]
 
 

@@ -167,7 +167,7 @@ prepared AS (
 watched AS (SELECT *, len(list_intersect(regexp_extract_all(text_, '([a-z0-9]+(?:-[a-z0-9]+)*)', 1), (SELECT list(t) FROM watch))) > 0 AS watched_ FROM prepared),
 excluded AS (SELECT *, trim(coalesce(nullif(regexp_extract(text_, {quoted(V.HARD_EXCLUDE)}, 0), ''), nullif(regexp_extract(title_, {quoted(V.HARD_EXCLUDE_TITLE)}, 0), ''))) AS exclusion_reason FROM watched),
 first_ AS (SELECT *, CASE WHEN exclusion_reason IS NOT NULL THEN 'NONE' ELSE {rules.case_sql(gates.signal_rules('duckdb'), 'NONE')} END AS signal_ FROM excluded),
-second_ AS (SELECT *, signal_ IN ('META_ANALYSIS', 'PHASE_II_RANDOMIZED') AND NOT {gates.journal_test('journal_', V.SOUND_JOURNALS, 10)} AS weak_ FROM first_),
+second_ AS (SELECT *, signal_ IN ('META_ANALYSIS', 'PHASE_II_RANDOMIZED') AND NOT {gates.journal_test('journal_', V.SOUND_JOURNALS, 10, 'duckdb')} AS weak_ FROM first_),
 gated AS (
   SELECT *, CASE WHEN weak_ THEN 'NONE' ELSE signal_ END AS qualifying_signal,
     CASE WHEN exclusion_reason IS NOT NULL OR (signal_ <> 'NONE' AND NOT weak_) THEN NULL WHEN weak_ THEN 'non_whitelist_journal' ELSE {rules.case_sql(gates.rejection_rules('duckdb'), 'no_qualifying_signal')} END AS rejection_reason,
