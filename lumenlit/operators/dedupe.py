@@ -118,11 +118,24 @@ def suppress(rows: DataFrame, prior: DataFrame, name: str, exempt: Column) -> Da
 def title_gaps(wanted: DataFrame, present: DataFrame, key: str, tokens: str, threshold: float = 0.35) -> DataFrame:
     """The wanted rows that no present title resembles by its set of words.
 
-    Exact: sets that share no word have similarity 0, so an inverted index on
-    words reaches every pair that counts; common words are shared sizes, counted
-    by one aggregation instead of comparing the sets.
+    Exact: of two sets that reach the threshold, the rarest words of each (all but
+    the commonest ``threshold`` of them) have one in common, so an inverted index
+    on these reaches every pair that counts.  Equal sets are compared once.
     """
-    sized = lambda df, c: df.select(F.col(key).alias(c), F.size(tokens).alias(f"{c}_n"), F.explode(tokens).alias("token"))
-    shared = sized(wanted, "w").join(sized(present, "p"), "token").groupBy("w", "p", "w_n", "p_n").agg(F.count("*").alias("common"))
-    near = shared.where(F.col("common") / (F.col("w_n") + F.col("p_n") - F.col("common")) >= threshold).select(F.col("w").alias(key)).distinct()
-    return wanted.join(near, key, "left_anti")
+    side = lambda df: df.select(F.array_sort(tokens).alias("set")).where("size(set) > 0").distinct()
+    asked, offered = side(wanted), side(present)
+    frequency = asked.unionByName(offered).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("often"))
+
+    def indexed(sets: DataFrame, name: str) -> DataFrame:
+        worded = sets.select(F.col("set").alias(name), F.explode("set").alias("token")).join(frequency, "token")
+        rarest = worded.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
+        most = F.size(name) - F.ceil(F.size(name) * threshold).cast("int") + 1
+        return rarest.select(name, F.explode(F.transform(F.slice("ranked", F.lit(1), most), lambda r: r["token"])).alias("token"))
+
+    # few bytes but many pairs: a fixed number of partitions keeps the work spread
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = indexed(asked, "a").repartition(parts, "a").join(indexed(offered, "b"), "token")
+    sizes = (F.size("b") >= F.size("a") * threshold) & (F.size("a") >= F.size("b") * threshold)
+    common = F.size(F.array_intersect("a", "b"))
+    near = pairs.where(sizes).where(common >= threshold * (F.size("a") + F.size("b") - common)).select("a").distinct()
+    return wanted.withColumn("a", F.array_sort(tokens)).join(near, "a", "left_anti").drop("a")
