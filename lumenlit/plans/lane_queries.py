@@ -10,20 +10,23 @@ from lumenlit.functions.rules import quoted
 from lumenlit.operators import dedupe, metrics, search
 from lumenlit.sources.tables import table
 
-_TEXT = F.concat_ws("\n", "title", "abstract")
 TUMOR = ["cancer", "carcinoma", "melanoma", "lymphoma"]
 STUDY = ["randomised", "randomized", "phase 3", "phase 2", "subgroup"]
 
 
+def _text():
+    return F.concat_ws("\n", "title", "abstract")
+
+
 def lane_core(spark, folder):
     rows = table(spark, folder, "candidates", "candidate_id", "title", "abstract", "mesh_terms")
-    return search.lane(rows, search.core(_TEXT, F.col("mesh_terms"), ["breast", "lung cancer"], TUMOR, ["Breast Neoplasms"]), []).select("candidate_id")
+    return search.lane(rows, search.core(_text(), F.col("mesh_terms"), ["breast", "lung cancer"], TUMOR, ["Breast Neoplasms"]), []).select("candidate_id")
 
 
 def lane_main_query(spark, folder):
     rows = table(spark, folder, "candidates", "candidate_id", "title", "abstract", "mesh_terms", "publication_date", "ingested_at")
     published = F.try_to_date("publication_date", "yyyy-MM-dd")
-    where = search.core(_TEXT, F.col("mesh_terms"), ["breast", "lung cancer"], TUMOR, ["Breast Neoplasms"]) & search.any_term(_TEXT, STUDY) & search.in_window(published, F.to_date("ingested_at"), "2023-01-01", "2023-03-31")
+    where = search.core(_text(), F.col("mesh_terms"), ["breast", "lung cancer"], TUMOR, ["Breast Neoplasms"]) & search.any_term(_text(), STUDY) & search.in_window(published, F.to_date("ingested_at"), "2023-01-01", "2023-03-31")
     return search.lane(rows, where, []).select("candidate_id")
 
 
