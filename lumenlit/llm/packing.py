@@ -176,7 +176,9 @@ def _pack_round(items: DataFrame, capacity: int, shards: int, label: str) -> Dat
         return pdf.assign(container_id=where, filled=fill)[["container_id", "doc_id", "piece", "first_token", "tokens", "filled"]]
 
     salted = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(label)), F.lit(shards)).cast("int"))
-    return salted.groupBy("shard").applyInPandas(pack, "container_id string, doc_id long, piece int, first_token long, tokens long, filled long")
+    # shards are few bytes but much work, so they are spread over a fixed number of tasks
+    tasks = min(shards, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return salted.repartition(tasks, "shard").groupBy("shard").applyInPandas(pack, "container_id string, doc_id long, piece int, first_token long, tokens long, filled long")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
