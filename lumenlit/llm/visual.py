@@ -48,6 +48,9 @@ _SPELLING = {script: {row[0]: row[i] for row in TWINS if row[i] != "."} for i, s
 _CLASSES = set(_SPELLING["LATIN"])
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 _PLAIN = re.compile(r"[\x20-\x7e\n]*")
+# Latin text with at most single letters of Greek that have no twin; all of it is in its consistent form already
+_LATIN = re.compile(r"(?:[\x20-\x7e\nÀ-ÖØ-öø-ÿ¡¢£¥§©«®°±²³¶·¹»¿×÷–—€]+|[αβγδκμΓΔ](?![Ͱ-Ͽ]))*")
+_LONE_GREEK = re.compile("[αβγδκμΓΔ]")
 
 
 class _Seen(dict):
@@ -112,6 +115,12 @@ def consistent_form(text: str | None) -> tuple[str | None, int]:
         return None, 0
     if _PLAIN.fullmatch(text):
         return text, 0
+    plain = text.replace("µ", "μ")
+    if _LATIN.fullmatch(plain):
+        greek = len(_LONE_GREEK.findall(plain))
+        # t, n and r have no twin: enough of them make Latin the prevailing script
+        if plain.count("t") + plain.count("n") + plain.count("r") > 4 * greek + 20:
+            return plain, 0 if not greek else sum(len({_script(c) for c in m.group()} & set(SCRIPTS)) > 1 for m in _TOKEN.finditer(plain) if not m.group().isascii())
     seen = unicodedata.normalize("NFD", text.replace("\r\n", "\n").replace("\r", "\n").translate(_SEEN))
     flat = seen.translate(_PROTOTYPES)
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(flat)]
