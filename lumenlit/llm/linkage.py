@@ -1,8 +1,8 @@
 """Matching two listings of works that share no key.
 
 Both sides are brought to comparable attributes; candidate pairs come from equal
-blocking keys: MinHash bands over title words (bound to the title's numbers,
-which tell reports of one trial apart), the DOI, and for titles
+blocking keys: a title's rare words and the parts of its first word, bound to the
+title's numbers (which a comparison never lets differ), the DOI, and for titles
 that are cut or say nothing, their beginning or nothing together with trial,
 registry number or venue.  A pair's features feed a logistic classifier that is
 trained on weak labels: whether two present DOIs agree.  Its scores are
@@ -13,8 +13,10 @@ added as log-odds.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from lumenlit.scratch import Scratch
 
 BANDS, ROWS_PER_BAND = 4, 1
-SKETCH_BITS, SKETCH_APART = 64, 13  # pairs from bands whose sketches differ in more bits share under two thirds of their words
+SKETCH_BITS = 64
+RARE, RARE_SHARE, BUCKETS = 3, 200, 1 << 16  # rare words of a title in keys; a word of more than one title in RARE_SHARE is not rare; words are counted by hash
 HEAD = 24  # characters of a cut title's beginning in a key
 LABELLED_PAIRS = 40_000  # bound of the labelled sample that the classifier is fitted on
 MIN_CONFIDENCE = 0.5
@@ -109,7 +112,9 @@ def _trial_word(words: list[str]) -> str:
 
 
 def band_keys(titles: list[str], trials: list[str | None], registries: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key per title and band (least-hash words together with the title's numbers and, in turn, its first word or what names its trial), and a sketch per title: one bit of each of 64 further least hashes."""
+    """A 64-bit key per title and band (least-hash words together with the title's numbers and, in turn, its first word or what names its trial), and a sketch per title: one bit of each of 64 further least hashes.
+
+    An estimate of how near titles are; matching does not use it, since it rejects true pairs by chance."""
     seeds = _seeds()
     known: dict[str, int] = {}
 
@@ -152,7 +157,7 @@ def _fixed_hash(word: str) -> int:
     return h
 
 
-_SIDE = "id long, title string, doi string, trial string, registry string, venue string, year int, short boolean, generic boolean, keys array<long>, sketch long"
+_SIDE = "id long, title string, doi string, trial string, registry string, venue string, year int, short boolean, generic boolean"
 _SIDE_TYPES = [pa.int64(), *[pa.string()] * 5, pa.int32(), pa.bool_(), pa.bool_()]
 
 
@@ -166,47 +171,113 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = not generic and (raw.endswith(("…", "...", "...]")) or not _ENDED.search(raw))
             rows.append((rid, t, tidy_doi(doi), tidy_trial(trial), tidy_registry(registry), tidy_venue(venue), year, short, generic))
         if rows:
-            columns = list(zip(*rows))
-            keys, sketch = band_keys(columns[1], columns[3], columns[4])
-            offsets = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, _SIDE_TYPES)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array(sketch)], names=[f.split()[0] for f in _SIDE.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SIDE_TYPES)], names=[f.split()[0] for f in _SIDE.split(", ")])
 
 
 def comparable(rows: DataFrame, key: str, title: str, doi: str, trial: str, registry: str, venue: str, year: Column) -> DataFrame:
-    """One side in comparable attributes, with its band keys and sketch."""
+    """One side in comparable attributes."""
     given = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), title, doi, trial, registry, venue, year.cast("int").alias("year"))
     return given.mapInArrow(_prepared, _SIDE)
 
 
-def _keys(rows: DataFrame, asks: bool) -> DataFrame:
-    """id, key and sketch; cut and generic titles of the asking side use their own keys, which the other side offers for every row."""
-    bands = rows.where("not generic and not short").select("id", F.explode(F.array_distinct("keys")).alias("key"), "sketch")
+def _bucket(word: str) -> int:
+    return crc32(word.encode()) % BUCKETS
+
+
+def _key(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many titles have a word of each bucket; bucket -1 counts the titles."""
+    n, titles = np.zeros(BUCKETS, np.int64), 0
+    known = lru_cache(maxsize=1 << 17)(_bucket)
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            titles += 1
+            n[[known(w) for w in set(t.split())]] += 1
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], titles))], names=["bucket", "n"])
+
+
+def word_counts(*sides: DataFrame) -> np.ndarray:
+    """The share of titles with a word of each bucket."""
+    titles = sides[0].where("not generic").select("title")
+    for side in sides[1:]:
+        titles = titles.unionByName(side.where("not generic").select("title"))
+    got = titles.mapInArrow(_counted_words, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    n = dict(zip(got["bucket"], got["n"]))
+    shares = np.zeros(BUCKETS)
+    for at, k in n.items():
+        if at >= 0:
+            shares[at] = k / n[-1]
+    return shares
+
+
+def _tails(word: str) -> list[str]:
+    """A word without its first five or six letters: of two words that differ by a letter before, one is equal."""
+    return [word[k:] for k in (5, 6) if len(word) >= k + 4] or [word]
+
+
+def _by_rareness(words: list[str], share: Callable[[str], float]) -> list[str]:
+    return sorted({w for w in words if not w[0].isdigit()}, key=lambda w: (share(w), w))
+
+
+def title_keys(title: str, share: Callable[[str], float]) -> list[int]:
+    """Keys of a title of which two share one unless its first word and its rare words are all misspelt; titles with other numbers are never equal."""
+    words = title.split() or [""]
+    numbers = " ".join(sorted(w for w in words if w[0:1].isdigit()))
+    rare = _by_rareness(words, share)
+    first = words[0]
+    others = [w for w in rare if w != first]
+    told = [w for w in rare[:RARE] if share(w) * RARE_SHARE <= 1] or rare[:1]
+    beside = others[0] if others else ""
+    return [_key("head", first[:6], numbers), *(_key("tail", x, beside, numbers) for x in _tails(first)), *(_key("word", w, numbers) for w in told if w != first)]
+
+
+def _keyer(shares) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(maxsize=1 << 17)(lambda w: float(shares.value[_bucket(w)]))
+        for batch in batches:
+            ids, keys = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = set(title_keys(t, known))
+                ids += [i] * len(mine)
+                keys += mine
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["id", "key"])
+
+    return give
+
+
+def _keys(rows: DataFrame, asks: bool, shares) -> DataFrame:  # noqa: ANN001
+    """id and key; cut and generic titles of the asking side use their own keys, which the other side offers for every row."""
+    titles = rows.where("not generic and not short").select("id", "title").mapInArrow(_keyer(shares), "id long, key long")
     # an incomplete attribute gives a null key, and null keys are left out
     tagged = lambda tag, *cols: F.when(F.expr(" and ".join(f"{c} is not null" for c in cols)), F.xxhash64(F.lit(tag), *cols))
     head = rows.withColumn("head", F.when((F.length("title") >= HEAD) & (F.lit(not asks) | F.col("short")), F.substring("title", 1, HEAD))).withColumn("bare", F.when(F.lit(not asks) | F.col("generic"), F.lit("")))
-    # equal titles share their bands, so the whole title needs no key of its own
-    other = head.select("id", F.explode(F.array(tagged("doi", "doi"), tagged("head-trial", "head", "trial"), tagged("head-registry", "head", "registry"), tagged("head-venue", "head", "venue", "year"), tagged("trial-venue", "bare", "trial", "venue"))).alias("key"), F.lit(None).cast("long").alias("sketch"))
-    return bands.unionByName(other).where("key is not null")
+    # equal titles share their title keys, so the whole title needs no key of its own
+    other = head.select("id", F.explode(F.array(tagged("doi", "doi"), tagged("head-trial", "head", "trial"), tagged("head-registry", "head", "registry"), tagged("head-venue", "head", "venue", "year"), tagged("trial-venue", "bare", "trial", "venue"))).alias("key"))
+    return titles.unionByName(other).where("key is not null")
 
 
 def _head_keys(rows: DataFrame) -> DataFrame:
-    """id, key and sketch of the beginnings of titles together with trial or registry number."""
+    """id and key of the beginnings of titles together with trial or registry number."""
     head = F.substring("title", 1, HEAD)
     keys = [F.when((F.length("title") >= HEAD) & F.col(c).isNotNull(), F.xxhash64(F.lit(f"head-{c}"), head, c)) for c in ("trial", "registry")]
-    return rows.select("id", F.explode(F.array(*keys)).alias("key"), F.lit(None).cast("long").alias("sketch")).where("key is not null")
+    return rows.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (left_id, right_id) that share a blocking key in either direction."""
+    shares = left.sparkSession.sparkContext.broadcast(word_counts(left, right))
+
     def meet(asked: DataFrame, offered: DataFrame) -> DataFrame:
-        both = asked.withColumnsRenamed({"id": "left_id", "sketch": "left_sketch"}).join(offered.withColumnsRenamed({"id": "right_id", "sketch": "right_sketch"}), "key")
-        # keys without a sketch are exact; the sketches of the others must be near
-        near = F.coalesce(F.bit_count(F.col("left_sketch").bitwiseXOR(F.col("right_sketch"))), F.lit(0)) <= SKETCH_APART
-        return both.where(near).select("left_id", "right_id")
+        return asked.withColumnRenamed("id", "left_id").join(offered.withColumnRenamed("id", "right_id"), "key").select("left_id", "right_id")
 
     # cut titles on the right ask the left, by the two keys that their own side has not asked already
     two = meet(_head_keys(left), _head_keys(right.where("short")))
-    return meet(_keys(left, True), _keys(right, False)).unionByName(two).distinct()
+    # by left_id, as the attributes come next
+    return meet(_keys(left, True, shares), _keys(right, False, shares)).unionByName(two).repartition("left_id").distinct()
 
 
 FEATURES = ("equal", "slips", "close", "begins", "generic", "differs", "unlike", "trial_same", "trial_other", "registry_same", "registry_other", "venue_same", "venue_other", "year_same", "year_near", "year_far", "alone")
@@ -221,15 +292,20 @@ def _slip(x: Column, y: Column) -> Column:
     return F.when(x == y, 0).when(x.rlike("[0-9]") | y.rlike("[0-9]"), 9).when((near <= 1) & (most > 1), 1).when((near == 2) & swapped, 1).when((least >= 6) & (near <= 3) & (near * 3 <= least) & ~apart, 1).otherwise(9)
 
 
+def _apart(n: Column) -> Column:
+    """1 if the first n words of the lists a and b are pairwise equal or slips, else 9; the first other pair decides."""
+    return F.when(F.exists(F.sequence(F.lit(0), n - 1), lambda i: _slip(F.get(F.col("a"), i), F.get(F.col("b"), i)) > 1), 9).otherwise(1)
+
+
 def compare(pairs: DataFrame) -> DataFrame:
     """The features, as bits of a mask, of pairs whose sides' attributes are prefixed l_ and r_."""
     a, b = F.split("l_title", " "), F.split("r_title", " ")
     rows = pairs.withColumns({"a": F.when(F.length("l_title") <= F.length("r_title"), a).otherwise(b), "b": F.when(F.length("l_title") <= F.length("r_title"), b).otherwise(a), "cut": F.col("l_short") | F.col("r_short")})
     rows = rows.withColumn("n", F.size("a"))
     numbers = lambda c: F.filter(c, lambda w: w.rlike("^[0-9]"))
-    words = F.when(F.col("l_title") == F.col("r_title"), F.lit(0)).when(F.size("b") == F.col("n"), F.array_max(F.zip_with("a", "b", _slip)))
+    words = F.when(F.col("l_title") == F.col("r_title"), F.lit(0)).when(F.size("b") == F.col("n"), _apart(F.col("n")))
     rows = rows.withColumn("most", F.coalesce(words, F.lit(9)))
-    body = F.array_max(F.zip_with(F.slice("a", 1, F.greatest(F.col("n") - 1, F.lit(1))), F.slice("b", 1, F.greatest(F.col("n") - 1, F.lit(1))), _slip))
+    body = _apart(F.greatest(F.col("n") - 1, F.lit(1)))
     rows = rows.withColumn("begin", F.when(F.col("cut") & (F.size("b") >= F.col("n")) & (F.col("n") > 2) & (F.col("most") > 1), F.when(F.element_at("b", F.col("n")).startswith(F.element_at("a", F.col("n"))) | (_slip(F.element_at("a", F.col("n")), F.element_at("b", F.col("n"))) <= 1), body).otherwise(9)))
     most = F.col("most")
     # a few edits over the whole title, with equal numbers and connectives, none of which turns a word into one that it begins or ends

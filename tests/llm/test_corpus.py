@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lumenlit.llm import linkage, mixing, packing, tokens
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no public tokenizer here")
@@ -144,6 +146,20 @@ def test_matching_small_cases(spark):
     assert linkage.works_of_evidence(e.where("false"), c).count() == 0 and linkage.works_of_evidence(e, c.where("false")).count() == 0
 
 
+def _met(spark, left, right):
+    e, c = _sides(spark, [(i, *row, "x") for i, row in enumerate(left)], [(i, *row, "x") for i, row in enumerate(right)])
+    year = F.expr("cast(substring(publication_date, 1, 4) as int)")
+    sides = linkage.comparable(e, "evidence_id", "title", "doi", "trial_name", "nct_id", "journal", year), linkage.comparable(c, "catalog_id", "title", "doi", "trial_label", "nct_number", "venue", F.col("pub_year"))
+    return {(r.left_id, r.right_id) for r in linkage.candidates(*sides).collect()}
+
+
+def test_candidates_with_many_slips(spark):
+    slips = "Dregosdreparib vresus observaton in adjvuant colorectla cnacer: patient-reproted outcmes from QUINJOROND-87"
+    ends = "Degosdreparib versus observation in adjuvant colorectal cancer: patient-reported outcomes from QUINJOROND-87"
+    bare = [None] * 5
+    assert _met(spark, [(slips, *bare), (ends, *bare)], [(TITLE, *bare), (TITLE.replace("87", "88"), *bare)]) == {(0, 0), (1, 0)}
+
+
 def test_candidates_reach_brute_force(spark, sf):
     from lumenlit.llm.queries import matched_works
     from lumenlit.sources.tables import table
