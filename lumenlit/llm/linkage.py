@@ -235,13 +235,37 @@ def title_keys(title: str, share: Callable[[str], float]) -> list[int]:
     return [_key("head", first[:6], numbers), *(_key("tail", x, beside, numbers) for x in _tails(first)), *(_key("word", w, numbers) for w in told if w != first)]
 
 
-def _keyer(shares) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+def beginning_keys(title: str, share: Callable[[str], float], asks: bool) -> list[int]:
+    """Keys of a title that may be cut, and of those it may be the beginning of: parts of the first word beside words near it, and rare words, without numbers."""
+    words = title.split() or [""]
+    first, keys = words[0], []
+    # a cut title's last word may be broken and is beside nothing
+    whole = len(words) - asks
+    brief = asks and len(words) < 7
+    for at in ((2,), (4, 5)):
+        if at[-1] < whole:
+            keys.append(_key("begins", first[:6], *(words[k] for k in at), str(at)))
+    for at in ((1, 2), (2, 4, 5), (4, 5, 6)):
+        if at[-1] < whole and (brief or not asks or len(at) > 2):
+            keys += [_key("begins-tail", x, *(words[k] for k in at), str(at)) for x in _tails(first)]
+    # where few words are left, the first alone
+    if brief or not asks:
+        keys.append(_key("begins-first", first))
+    rare = _by_rareness(words, share)
+    told = [w for w in rare[:RARE] if share(w) * RARE_SHARE <= 1] or rare[:1]
+    return keys + [_key("begins-word", w) for w in told if w != first]
+
+
+def _keyer(shares, asks: bool, alike: bool = True, begins: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """id and key of titles (id, title, short): those of alike titles, and those of beginnings, which only titles that may be cut ask."""
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(maxsize=1 << 17)(lambda w: float(shares.value[_bucket(w)]))
         for batch in batches:
             ids, keys = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = set(title_keys(t, known))
+            for i, t, short in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                mine = set(title_keys(t, known) if alike else ())
+                if begins and (short or not asks):
+                    mine.update(beginning_keys(t, known, asks))
                 ids += [i] * len(mine)
                 keys += mine
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["id", "key"])
@@ -251,7 +275,8 @@ def _keyer(shares) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 def _keys(rows: DataFrame, asks: bool, shares) -> DataFrame:  # noqa: ANN001
     """id and key; cut and generic titles of the asking side use their own keys, which the other side offers for every row."""
-    titles = rows.where("not generic and not short").select("id", "title").mapInArrow(_keyer(shares), "id long, key long")
+    # any title may be whole, so each has the keys of alike titles
+    titles = rows.where("not generic").select("id", "title", "short").mapInArrow(_keyer(shares, asks), "id long, key long")
     # an incomplete attribute gives a null key, and null keys are left out
     tagged = lambda tag, *cols: F.when(F.expr(" and ".join(f"{c} is not null" for c in cols)), F.xxhash64(F.lit(tag), *cols))
     head = rows.withColumn("head", F.when((F.length("title") >= HEAD) & (F.lit(not asks) | F.col("short")), F.substring("title", 1, HEAD))).withColumn("bare", F.when(F.lit(not asks) | F.col("generic"), F.lit("")))
@@ -260,11 +285,12 @@ def _keys(rows: DataFrame, asks: bool, shares) -> DataFrame:  # noqa: ANN001
     return titles.unionByName(other).where("key is not null")
 
 
-def _head_keys(rows: DataFrame) -> DataFrame:
-    """id and key of the beginnings of titles together with trial or registry number."""
+def _head_keys(rows: DataFrame, asks: bool, shares) -> DataFrame:  # noqa: ANN001
+    """id and key of the beginnings of titles: those of its words, and its first characters together with trial or registry number."""
     head = F.substring("title", 1, HEAD)
     keys = [F.when((F.length("title") >= HEAD) & F.col(c).isNotNull(), F.xxhash64(F.lit(f"head-{c}"), head, c)) for c in ("trial", "registry")]
-    return rows.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    words = rows.where("not generic").select("id", "title", "short").mapInArrow(_keyer(shares, asks, alike=False), "id long, key long")
+    return words.unionByName(rows.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null"))
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -274,8 +300,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     def meet(asked: DataFrame, offered: DataFrame) -> DataFrame:
         return asked.withColumnRenamed("id", "left_id").join(offered.withColumnRenamed("id", "right_id"), "key").select("left_id", "right_id")
 
-    # cut titles on the right ask the left, by the two keys that their own side has not asked already
-    two = meet(_head_keys(left), _head_keys(right.where("short")))
+    # cut titles on the right ask the left
+    two = meet(_head_keys(left, False, shares), _head_keys(right.where("short"), True, shares))
     # by left_id, as the attributes come next
     return meet(_keys(left, True, shares), _keys(right, False, shares)).unionByName(two).repartition("left_id").distinct()
 

@@ -160,6 +160,15 @@ def test_candidates_with_many_slips(spark):
     assert _met(spark, [(slips, *bare), (ends, *bare)], [(TITLE, *bare), (TITLE.replace("87", "88"), *bare)]) == {(0, 0), (1, 0)}
 
 
+def test_candidates_of_cut_and_misspelt_titles(spark):
+    bare = [None] * 5
+    cut = ["Dregsodreparib versus observation in adjuvant colorect…", "Dregosdreparib versus observtion in adjuvant colo", "Dregosdrepaarib versus observation in adj..."]
+    whole = "Dregosdreparib versus observation in adjuvant colorectal cancer: a double-blind phase 3 "
+    both = [(t, *bare) for t in cut], [(TITLE, *bare)]
+    assert _met(spark, *both) == {(0, 0), (1, 0), (2, 0)} and _met(spark, *both[::-1]) == {(0, 0), (0, 1), (0, 2)}
+    assert _met(spark, [(f"Degosdreparib{whole[14:]}stuyd", *bare)], [(f"{whole}study", *bare)]) == {(0, 0)}
+
+
 def test_candidates_reach_brute_force(spark, sf):
     from lumenlit.llm.queries import matched_works
     from lumenlit.sources.tables import table
