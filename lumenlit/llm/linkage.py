@@ -256,7 +256,7 @@ def beginning_keys(title: str, share: Callable[[str], float], asks: bool) -> lis
     return keys + [_key("begins-word", w) for w in told if w != first]
 
 
-def _keyer(shares, asks: bool, alike: bool = True, begins: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+def _keyer(shares, asks: bool, alike: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     """id and key of titles (id, title, short): those of alike titles, and those of beginnings, which only titles that may be cut ask."""
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(maxsize=1 << 17)(lambda w: float(shares.value[_bucket(w)]))
@@ -264,7 +264,7 @@ def _keyer(shares, asks: bool, alike: bool = True, begins: bool = True) -> Calla
             ids, keys = [], []
             for i, t, short in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 mine = set(title_keys(t, known) if alike else ())
-                if begins and (short or not asks):
+                if short or not asks:
                     mine.update(beginning_keys(t, known, asks))
                 ids += [i] * len(mine)
                 keys += mine
@@ -273,26 +273,21 @@ def _keyer(shares, asks: bool, alike: bool = True, begins: bool = True) -> Calla
     return give
 
 
-def _keys(rows: DataFrame, asks: bool, shares) -> DataFrame:  # noqa: ANN001
-    """id and key; cut and generic titles of the asking side use their own keys, which the other side offers for every row."""
+def _keys(rows: DataFrame, asks: bool, shares, alike: bool = True) -> DataFrame:  # noqa: ANN001
+    """id and key; cut and generic titles of the asking side use their own keys, which the other side offers for every row.
+
+    Without ``alike`` only those, for a search in which the sides have changed places.
+    """
     # any title may be whole, so each has the keys of alike titles
-    titles = rows.where("not generic").select("id", "title", "short").mapInArrow(_keyer(shares, asks), "id long, key long")
+    titles = rows.where("not generic").select("id", "title", "short").mapInArrow(_keyer(shares, asks, alike), "id long, key long")
     # an incomplete attribute gives a null key, and null keys are left out
     tagged = lambda tag, *cols: F.when(F.expr(" and ".join(f"{c} is not null" for c in cols)), F.xxhash64(F.lit(tag), *cols))
     head = rows.withColumn("head", F.when((F.length("title") >= HEAD) & (F.lit(not asks) | F.col("short")), F.substring("title", 1, HEAD))).withColumn("bare", F.when(F.lit(not asks) | F.col("generic"), F.lit("")))
     # equal titles share their title keys, so the whole title needs no key of its own
-    other = head.select("id", F.explode(F.array(tagged("doi", "doi"), tagged("head-trial", "head", "trial"), tagged("head-registry", "head", "registry"), tagged("head-venue", "head", "venue", "year"), tagged("trial-venue", "bare", "trial", "venue"))).alias("key"))
+    other = head.select("id", F.explode(F.array(*([tagged("doi", "doi")] if alike else []), tagged("head-trial", "head", "trial"), tagged("head-registry", "head", "registry"), tagged("head-venue", "head", "venue", "year"), tagged("trial-venue", "bare", "trial", "venue"))).alias("key"))
     return titles.unionByName(other).where("key is not null")
 
 
-def _head_keys(rows: DataFrame, asks: bool, shares) -> DataFrame:  # noqa: ANN001
-    """id and key of the beginnings of titles: those of its words, and its first characters together with trial or registry number."""
-    head = F.substring("title", 1, HEAD)
-    keys = [F.when((F.length("title") >= HEAD) & F.col(c).isNotNull(), F.xxhash64(F.lit(f"head-{c}"), head, c)) for c in ("trial", "registry")]
-    words = rows.where("not generic").select("id", "title", "short").mapInArrow(_keyer(shares, asks, alike=False), "id long, key long")
-    return words.unionByName(rows.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null"))
-
-
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (left_id, right_id) that share a blocking key in either direction."""
     shares = left.sparkSession.sparkContext.broadcast(word_counts(left, right))
@@ -300,8 +295,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     def meet(asked: DataFrame, offered: DataFrame) -> DataFrame:
         return asked.withColumnRenamed("id", "left_id").join(offered.withColumnRenamed("id", "right_id"), "key").select("left_id", "right_id")
 
-    # cut titles on the right ask the left
-    two = meet(_head_keys(left, False, shares), _head_keys(right.where("short"), True, shares))
+    # cut and generic titles on the right ask the left, by all keys that such titles have
+    two = meet(_keys(left, False, shares, alike=False), _keys(right.where("short or generic"), True, shares, alike=False))
     # by left_id, as the attributes come next
     return meet(_keys(left, True, shares), _keys(right, False, shares)).unionByName(two).repartition("left_id").distinct()
 

@@ -169,6 +169,13 @@ def test_candidates_of_cut_and_misspelt_titles(spark):
     assert _met(spark, [(f"Degosdreparib{whole[14:]}stuyd", *bare)], [(f"{whole}study", *bare)]) == {(0, 0)}
 
 
+def test_cut_and_generic_catalogue_titles_ask_the_evidence(spark):
+    title = "A new agent in some cancer of " + TITLE
+    left = [(title, None, "QUINJOROND-87", None, "Annals of Tumour Medicine", "2024-01"), (title, None, None, None, "Annals of Tumour Medicine", "2024-01")]
+    right = [("Conference abstract", None, "QUINJOROND87", None, "AoTM", None), ("A new agent in some cancer o x y z", None, None, None, "AoTM", 2024)]
+    assert {(0, 0), (0, 1), (1, 1)} <= _met(spark, left, right)
+
+
 def test_candidates_reach_brute_force(spark, sf):
     from lumenlit.llm.queries import matched_works
     from lumenlit.sources.tables import table
