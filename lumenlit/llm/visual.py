@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,10 +48,8 @@ _PROTOTYPE = {other: latin for latin, *others in TWINS for other in others if ot
 _SPELLING = {script: {row[0]: row[i] for row in TWINS if row[i] != "."} for i, script in enumerate(SCRIPTS)}
 _CLASSES = set(_SPELLING["LATIN"])
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
-_PLAIN = re.compile(r"[\x20-\x7e\n]*")
-# Latin text with at most single letters of Greek that have no twin; all of it is in its consistent form already
-_LATIN = re.compile(r"(?:[\x20-\x7e\nÀ-ÖØ-öø-ÿ¡¢£¥§©«®°±²³¶·¹»¿×÷–—€]+|[αβγδκμΓΔ](?![Ͱ-Ͽ]))*")
-_LONE_GREEK = re.compile("[αβγδκμΓΔ]")
+# Latin letters without and with accents, composed, and marks that have no other spelling: one possessive class, so a match is linear
+_LATIN = re.compile(r"[\x20-\x7e\nÀ-ÖØ-öø-ÿ¡¢£¥§©«®°±²³¶·¹»¿×÷–—€]*+")
 
 
 class _Seen(dict):
@@ -65,7 +64,7 @@ class _Seen(dict):
     def look(c: str) -> str:
         if c in ALIKE:
             return ALIKE[c]
-        if c == "\n":
+        if c == "\n" or c in _PROTOTYPE:  # a twin keeps its script until its token is spelled
             return c
         kind = unicodedata.category(c)
         if kind == "Zs" or c in "\t\x0b\x0c":
@@ -106,43 +105,54 @@ def resolved_scripts(token: str) -> set[str]:
     return scripts or set()
 
 
+@lru_cache(maxsize=1 << 16)
+def _resolved(token: str) -> tuple[str, ...]:
+    return tuple(sorted(resolved_scripts(token)))
+
+
+@lru_cache(maxsize=1 << 16)
+def _spelled(token: str, prevailing: str) -> str:
+    """A token of prototypes in the script that is consistent with it and, where several are, with the text."""
+    found = _resolved(token)
+    script = prevailing if prevailing in found else found[0] if len(found) == 1 else "LATIN"
+    if script != prevailing and 2 * sum(c not in _CLASSES for c in token) <= len(token):
+        script = "LATIN"  # a few foreign letters, as in PI3Kα, don't turn their neighbours into foreign ones
+    table = _SPELLING.get(script, {}) if found else {}
+    return "".join(table.get(c, c) for c in token)
+
+
+@lru_cache(maxsize=1 << 16)
+def _mixed(token: str) -> bool:
+    """Whether a token mixes scripts as stored."""
+    return len({_script(c) for c in token} & set(SCRIPTS)) > 1
+
+
 def consistent_form(text: str | None) -> tuple[str | None, int]:
     """The consistent form of a text, and how many of its tokens mixed scripts as stored.
 
-    Null stays null, an empty text stays empty; length is not limited.
+    Null stays null, an empty text stays empty; length is not limited, and the
+    time is in proportion to it.  The form of a form is itself.
     """
     if text is None:
         return None, 0
-    if _PLAIN.fullmatch(text):
+    if _LATIN.fullmatch(text):
+        # every letter is Latin: each token admits Latin, no token admits one other script alone,
+        # so Latin prevails and spells every token as it stands; nothing else here has another form
         return text, 0
-    plain = text.replace("µ", "μ")
-    if _LATIN.fullmatch(plain):
-        greek = len(_LONE_GREEK.findall(plain))
-        # t, n and r have no twin: enough of them make Latin the prevailing script
-        if plain.count("t") + plain.count("n") + plain.count("r") > 4 * greek + 20:
-            return plain, 0 if not greek else sum(len({_script(c) for c in m.group()} & set(SCRIPTS)) > 1 for m in _TOKEN.finditer(plain) if not m.group().isascii())
-    seen = unicodedata.normalize("NFD", text.replace("\r\n", "\n").replace("\r", "\n").translate(_SEEN))
+    seen = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text.replace("\r\n", "\n").replace("\r", "\n")).translate(_SEEN))
     flat = seen.translate(_PROTOTYPES)
-    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(flat)]
-    scripts = {t: resolved_scripts(t) for t in {t for _, _, t in tokens}}
-    weight: Counter[str] = Counter()
-    for _, _, t in tokens:
-        if len(scripts[t]) == 1:
-            weight.update({next(iter(scripts[t])): len(t)})
+    counts = Counter(_TOKEN.findall(flat))
+    weight = dict.fromkeys(SCRIPTS, 0)
+    for t, n in counts.items():
+        found = _resolved(t)
+        if len(found) == 1 and found[0] in weight:
+            weight[found[0]] += len(t) * n
     prevailing = max(SCRIPTS, key=lambda s: (weight[s], s == "LATIN"))
-    spelled: dict[str, str] = {}
-    for t, found in scripts.items():
-        script = prevailing if prevailing in found else next(iter(found)) if len(found) == 1 else "LATIN"
-        if script != prevailing and 2 * sum(c not in _CLASSES for c in t) <= len(t):
-            script = "LATIN"  # a few foreign letters, as in PI3Kα, don't turn their neighbours into foreign ones
-        table = _SPELLING.get(script, {}) if found else {}
-        spelled[t] = "".join(table.get(c, c) for c in t)
-    out, at, mixed = [], 0, 0
-    for start, end, t in tokens:
-        out += [flat[at:start], spelled[t]]
-        at = end
-        mixed += len({_script(c) for c in seen[start:end]} & set(SCRIPTS)) > 1
-    return unicodedata.normalize("NFC", "".join([*out, flat[at:]])), mixed
+    spelled = {t: made for t in counts if (made := _spelled(t, prevailing)) != t}
+    mixed = 0 if seen.isascii() else sum(n for t, n in Counter(_TOKEN.findall(seen)).items() if not t.isascii() and _mixed(t))
+    if spelled:
+        flat = _TOKEN.sub(lambda m: spelled.get(m[0], m[0]), flat)
+    return unicodedata.normalize("NFC", flat), mixed
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
