@@ -1,34 +1,44 @@
 """Matching two listings of works that share no key.
 
-Both sides are brought to comparable attributes; candidate pairs come from equal
-blocking keys: a title's rare words and the parts of its first word, bound to the
-title's numbers (which a comparison never lets differ), the DOI, and for titles
-that are cut or say nothing, their beginning or nothing together with trial,
-registry number or venue.  A pair's features feed a logistic classifier that is
-trained on weak labels: whether two present DOIs agree.  Its scores are
-calibrated on held-out pairs by isotonic regression; the DOI's own evidence is
-added as log-odds.
+Both sides are brought to comparable attributes.  Candidate pairs come from
+MinHash over the words of the titles, each word drawn with a weight that grows with
+its rarity: a band is the least hash of a title's words together with a part of its
+first word and its numbers (which a comparison never lets differ), and beside the
+bands stand the title's rare words, each with the least of its common ones.  Titles
+that may be cut ask by bands over their first words, without numbers: together with
+the trial, registry number or venue, and by themselves where enough words are left.
+Titles that say nothing ask by trial and venue, and DOIs are a key of their own.
+A pair's features feed a logistic classifier that is trained on weak labels:
+whether two present DOIs agree.  Its scores are calibrated on held-out pairs by
+isotonic regression; the DOI's own evidence is added as log-odds.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlit.scratch import Scratch
 
-BANDS, ROWS_PER_BAND = 4, 1
-SKETCH_BITS = 64
-RARE, RARE_SHARE, BUCKETS = 3, 200, 1 << 16  # rare words of a title in keys; a word of more than one title in RARE_SHARE is not rare; words are counted by hash
-HEAD = 24  # characters of a cut title's beginning in a key
+# a band: which part of the first word it holds, and the numbers of its hash functions
+BANDS = (("head", (1,)), ("head", (2,)), ("tail", (3,)))
+RARE_BANDS = (4, 5)  # hash functions of the bands that hold a rare word
+BEGINNINGS = (2, 3, 5, 7, 9)  # words after the first that a band over a title's beginning draws from
+BESIDE_BANDS = (("head", (6,)), ("tail", (7,)))  # of beginnings, each with the trial, registry number or venue
+ALONE_BANDS = (("head", (8, 9, 14)), ("tail", (10, 11, 15)))  # of beginnings of ALONE words and more, by themselves
+ALONE = 3
+FLATTEST = 1000  # words of fewer titles than one in FLATTEST all weigh the same, so that a misspelt word is no more likely to be drawn
+RARE_SHARE, BUCKETS = 200, 1 << 16  # a word of more than one title in RARE_SHARE is not rare; words are counted by hash
+UNSEEN = 1000  # titles without a given word that are assumed beside those seen, so that few titles make no word common
+ASKED_BITS = 1 << 22  # the filter of beginnings that are asked for, whatever the input; it only saves keys and loses none
 LABELLED_PAIRS = 40_000  # bound of the labelled sample that the classifier is fitted on
 MIN_CONFIDENCE = 0.5
 DOI_SAME, DOI_OTHER = 4.5, -3.0  # log-odds of the DOI's evidence: one in a hundred DOIs belongs to another work, a few in a hundred are wrong
@@ -37,31 +47,45 @@ DOI_SAME, DOI_OTHER = 4.5, -3.0  # log-odds of the DOI's evidence: one in a hund
 GENERIC_TITLES = {"original article", "erratum", "press release", "conference abstract", "label update", "abstract", "article", "correction", "corrigendum", "editorial", "letter", "untitled", "report", "news", "title", "full text", "supplement", "poster", "research article", "case report", "review", "guideline", "safety update", "update", "late breaking abstract"}
 
 
-_LEAD = re.compile(r"^[\s ]*(?:(?:(?:re|fwd?|aw|oral|poster|late-breaking|abstract|paper)(?:\s+[a-z]*\d+)?\s*:|\[[^\]]*\])[\s ]*)+")
-_WORDS = re.compile(r"[^\W_]+")
-_ENDED = re.compile(r":.*(?:\d[a-z]?|\b(?:trial|study))[\s .]*$", re.I | re.S)
+_LEAD = r"^[\s\p{Z}]*(?:(?:(?:re|fwd?|aw|oral|poster|late-breaking|abstract|paper)(?:\s+[a-z]*\d+)?\s*:|\[[^\]]*\])[\s\p{Z}]*)+"
+_MARKS = r"(?:…|\.\.\.|\.\.\.\])[\s\p{Z}]*$"
 _DOI_LEAD = re.compile(r"^(?:https?://)?(?:dx\.)?(?:doi\.org/)?(?:doi:?)?")
 _DOI = re.compile(r"10\.\d{4,9}/\S+")
 _TRIAL = re.compile(r"[a-z]{2,}\d+[a-z]?")
 _TRIAL_WORDS = re.compile(r"^\s*the\s+|\s+(?:trial|study)\s*$")
 _NOT_TRIAL = re.compile(r"[^a-z0-9]")
 _SPELLING = re.compile(r"(?<=[a-z]{3})is(?=(?:e|ed|ation|ing)$)")
-_PATIENTS = re.compile(r"\bin (?:pa?\w{4,8} with )+")
+_PATIENTS = r"\bin (?:pa?\w{4,8} with )+"
 # Connectives that stand for each other.
 _SAME_WORDS = {"v": "versus", "vs": "versus", "plus": "and", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12"}
 
 
-def tidy_title(title: str | None) -> str:
-    """Lower case words; prefixes, connectives and spelling variants are made equal."""
-    t = (title or "").lower()
-    if "&" in t:
-        t = t.replace("&amp;", " and ").replace("&#38;", " and ").replace("&", " and ")
-    t = " ".join(_plain_word(w) for w in _WORDS.findall(_LEAD.sub("", t)))
+def _split(titles: pa.Array) -> pa.ListArray:
+    return pc.split_pattern(titles, " ")
+
+
+def tidy_titles(titles: pa.Array) -> pa.Array:
+    """Lower case words; prefixes, connectives and spelling variants are made equal.  Null becomes empty."""
+    t = pc.utf8_lower(pc.fill_null(titles, ""))
+    for old, new in (("&amp;", "&"), ("&#38;", "&"), ("&", " and ")):
+        t = pc.replace_substring(t, old, new)
+    t = pc.utf8_trim(pc.replace_substring_regex(pc.replace_substring_regex(t, _LEAD, ""), r"[^\p{L}\p{N}]+", " "), " ")
+    words = _split(t)
+    t = pc.binary_join(pa.ListArray.from_arrays(words.offsets, _mapped(words.values, _plain_word)), " ")
     # "in patients with X" and "in X" are one; the word may be misspelt or repeated
-    return _PATIENTS.sub("in ", t) if " with " in t else t
+    return pc.replace_substring_regex(t, _PATIENTS, "in ")
+
+
+def tidy_title(title: str | None) -> str:
+    return tidy_titles(pa.array([title], pa.string()))[0].as_py()
+
+
+def _mapped(values: pa.Array, change: Callable[[str | None], str | None]) -> pa.Array:
+    """Every value of an array changed; each distinct one once."""
+    coded = values.dictionary_encode()
+    return pa.array([change(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
 
-@lru_cache(maxsize=1 << 17)
 def _plain_word(word: str) -> str:
     return _SAME_WORDS.get(word) or _SPELLING.sub("iz", word)
 
@@ -73,135 +97,194 @@ def tidy_doi(doi: str | None) -> str | None:
     return d if _DOI.fullmatch(d) else None
 
 
-@lru_cache(maxsize=1 << 16)
 def tidy_registry(number: str | None) -> str | None:
     digits = "".join(c for c in number.split("(")[0] if c.isdigit()) if number else ""
     return digits if len(digits) == 8 else None
 
 
-@lru_cache(maxsize=1 << 16)
 def tidy_trial(name: str | None) -> str | None:
     """Letters and number of a trial's name, else null (placeholders have no number)."""
     t = _NOT_TRIAL.sub("", _TRIAL_WORDS.sub("", name.lower())) if name else ""
     return t if _TRIAL.fullmatch(t) else None
 
 
-@lru_cache(maxsize=1 << 14)
 def tidy_venue(venue: str | None) -> str | None:
     """The initials of a venue, which its abbreviation and its long form share."""
     words = re.sub(r"[.,&]", " ", venue.lower()).split() if venue else []
     return words[0] if len(words) == 1 else "".join(w[0] for w in words) or None
 
 
-def _seeds() -> np.ndarray:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(1, 2**63, BANDS * ROWS_PER_BAND + SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.uint64)
+    x = np.multiply(x ^ (x >> np.uint64(31)), np.uint64(0x9E3779B97F4A7C15))
+    x = np.multiply(x ^ (x >> np.uint64(29)), np.uint64(0xBF58476D1CE4E5B9))
+    return x ^ (x >> np.uint64(32))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def _trial_word(words: list[str]) -> str:
-    """The word that a report's title gives as its trial: a long one just before a number."""
-    for word, number in zip(words, words[1:]):
-        if len(word) >= 6 and word.isalpha() and number[0].isdigit() and word not in ("cohort", "version", "stage", "abstract"):
-            return word
-    return ""
-
-
-def band_keys(titles: list[str], trials: list[str | None], registries: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key per title and band (least-hash words together with the title's numbers and, in turn, its first word or what names its trial), and a sketch per title: one bit of each of 64 further least hashes.
-
-    An estimate of how near titles are; matching does not use it, since it rejects true pairs by chance."""
-    seeds = _seeds()
-    known: dict[str, int] = {}
-
-    def hashed(word: str) -> int:
-        if (h := known.get(word)) is None:
-            h = known[word] = _fixed_hash(word)
-        return h
-
-    flat: list[int] = []
-    starts = np.zeros(len(titles), np.int64)
-    anchors = np.zeros((3, len(titles)), np.uint64)
-    for i, (t, trial, registry) in enumerate(zip(titles, trials, registries)):
-        starts[i] = len(flat)
-        words = t.split() or [""]
-        flat += [hashed(w) for w in words]
-        numbers = " ".join(sorted(w for w in words if w[0:1].isdigit()))
-        anchors[0, i] = hashed(f"#{words[0]} {numbers}")
-        # a title without a trial: the first word's end, which a slip in its beginning leaves alone, and what the row gives beside the title
-        inside, end = _trial_word(words), words[0][-6:]
-        anchors[1, i] = hashed(f"@{inside or end} {numbers}")
-        anchors[2, i] = hashed(f"@{inside or trial or registry or end} {numbers}")
-    tokens = _mix(np.array(flat, np.uint64))
-    keys = np.zeros((len(titles), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = anchors[(0, 1, 0, 2)[b % 4]] + np.uint64(b + 1)
-        for r in range(ROWS_PER_BAND):
-            key = _mix(key ^ np.minimum.reduceat(tokens * seeds[b * ROWS_PER_BAND + r], starts))
-        keys[:, b] = key
-    sketch = np.zeros(len(titles), np.uint64)
-    for j in range(SKETCH_BITS):
-        low = np.minimum.reduceat(tokens * seeds[BANDS * ROWS_PER_BAND + j], starts)
-        sketch |= ((_mix(low) >> np.uint64(17)) & np.uint64(1)) << np.uint64(j)
-    return keys.astype(np.int64), sketch.astype(np.int64)
-
-
-def _fixed_hash(word: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in word.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-_SIDE = "id long, title string, doi string, trial string, registry string, venue string, year int, short boolean, generic boolean"
-_SIDE_TYPES = [pa.int64(), *[pa.string()] * 5, pa.int32(), pa.bool_(), pa.bool_()]
+def _hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+_SIDE = "id long, title string, doi string, trial string, registry string, venue string, year int, marked boolean, generic boolean"
 
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for rid, title, doi, trial, registry, venue, year in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            t = tidy_title(title)
-            generic = t in GENERIC_TITLES or t.count(" ") < 2
-            raw = (title or "").rstrip()
-            short = not generic and (raw.endswith(("…", "...", "...]")) or not _ENDED.search(raw))
-            rows.append((rid, t, tidy_doi(doi), tidy_trial(trial), tidy_registry(registry), tidy_venue(venue), year, short, generic))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SIDE_TYPES)], names=[f.split()[0] for f in _SIDE.split(", ")])
+        rid, title, doi, trial, registry, venue, year = (batch.column(i) for i in range(7))
+        t = tidy_titles(title)
+        few = pc.less(pc.count_substring(t, " "), 2)
+        generic = pc.or_(pc.is_in(t, pa.array(sorted(GENERIC_TITLES))), few)
+        marked = pc.and_(pc.fill_null(pc.match_substring_regex(title, _MARKS), False), pc.invert(generic))
+        columns = [rid, t, _mapped(doi, tidy_doi), _mapped(trial, tidy_trial), _mapped(registry, tidy_registry), _mapped(venue, tidy_venue), year, marked, generic]
+        yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SIDE.split(", ")])
 
 
 def comparable(rows: DataFrame, key: str, title: str, doi: str, trial: str, registry: str, venue: str, year: Column) -> DataFrame:
-    """One side in comparable attributes."""
-    given = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), title, doi, trial, registry, venue, year.cast("int").alias("year"))
+    """One side in comparable attributes; ``marked`` titles say themselves that they are cut."""
+    given = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate((title, doi, trial, registry, venue))], year.cast("int").alias("year"))
     return given.mapInArrow(_prepared, _SIDE)
 
 
-def _bucket(word: str) -> int:
-    return crc32(word.encode()) % BUCKETS
+def _last_word() -> Column:
+    word = F.substring_index("title", " ", -1)
+    return F.when(word.rlike("^[0-9]"), F.lit("#")).otherwise(word)
+
+
+def with_short(*sides: DataFrame) -> list[DataFrame]:
+    """The sides with ``short``: the title may be cut, as it is marked so or ends in a word in which hardly any title ends.
+
+    Words in which at least one title in RARE_SHARE ends are ends of whole
+    titles (UNSEEN titles are assumed to end otherwise); there are fewer than
+    RARE_SHARE of them.  All numbers are one word here.
+    """
+    ends = sides[0].where("not generic and not marked").select(_last_word().alias("word"))
+    for side in sides[1:]:
+        ends = ends.unionByName(side.where("not generic and not marked").select(_last_word().alias("word")))
+    counts = ends.groupBy("word").count()
+    whole = counts.crossJoin(F.broadcast(counts.agg(F.sum("count").alias("all")))).where(F.col("count") * RARE_SHARE >= F.col("all") + UNSEEN).select("word")
+    words = ["#", *(r[0] for r in whole.collect())]  # a number ends a title: one cut inside could not be told from another work's
+    return [side.withColumn("short", ~F.col("generic") & (F.col("marked") | ~_last_word().isin(words))) for side in sides]
 
 
-def _key(*parts: str) -> int:
-    return int.from_bytes(blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
+def _bucket(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class Titles:
+    """The words of a batch of titles as numbers; what depends on a word alone is worked out once per distinct word."""
+
+    def __init__(self, titles: pa.Array, shares: np.ndarray | None = None):
+        split = _split(titles)
+        coded = split.values.dictionary_encode()
+        self.words = coded.dictionary.to_pylist()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False)
+        self.starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        self.sizes = np.diff(split.offsets.to_numpy())
+        self.at = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)  # place in the title
+        self.bucket = np.fromiter(map(_bucket, self.words), np.int64, len(self.words))
+        if shares is None:
+            return
+        self.hash = np.fromiter(map(_hash, self.words), np.uint64, len(self.words))
+        self.head = np.fromiter((_hash("head " + w[:7]) for w in self.words), np.uint64, len(self.words))
+        # of two long words that differ by a letter, the first seven letters are equal or the last ones
+        self.tail = np.fromiter((_hash("tail " + w[-11:]) for w in self.words), np.uint64, len(self.words))
+        self.share = shares[self.bucket]
+        self.number = np.fromiter((w[:1].isdigit() for w in self.words), bool, len(self.words))
+        self.rare = self.share * RARE_SHARE <= 1
+        self.rarity = -np.log(np.clip(self.share, 1 / FLATTEST, 0.95))
+        self.first = self.codes[self.starts]
+
+    def least(self, function: int, power: float, mask: np.ndarray) -> np.ndarray:
+        """The weighted MinHash of each title over its words in the mask: words are drawn in proportion to rarity ** power."""
+        u = (_mix(self.hash ^ np.uint64(0xA24BAED4963EE407 * function & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) / 2**53
+        drawn = -np.log(np.maximum(u, 1e-300)) / self.rarity**power
+        return np.minimum.reduceat(np.where(mask, drawn[self.codes], np.inf), self.starts).view(np.uint64)
+
+    def numbers(self) -> np.ndarray:
+        """A hash of each title's numbers, in any order."""
+        return np.add.reduceat(np.where(self.number[self.codes], _mix(self.hash[self.codes]), np.uint64(0)), self.starts)
+
+
+def _combined(*parts: np.ndarray | int) -> np.ndarray:
+    key = np.zeros(1, np.uint64)
+    for part in parts:
+        key = _mix((key ^ np.uint64(0x2545F4914F6CDD1D)) + np.asarray(part, np.uint64))
+    return key
+
+
+def title_keys(titles: pa.Array, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the title and key: its bands, and its rare words each with the least of the common words; all with its numbers."""
+    words = Titles(titles, shares)
+    numbers, number, first = words.numbers(), words.number[words.codes], words.at == 0
+    everything = np.arange(len(titles))
+    index, keys = [], []
+    for band, (part, functions) in enumerate(BANDS):
+        drawn = [words.least(f, 0.5, ~first & ~number) for f in functions]
+        index.append(everything)
+        keys.append(_combined(1 + band, getattr(words, part)[words.first], *drawn, numbers))
+    rare = ~first & ~number & words.rare[words.codes]
+    at = np.flatnonzero(rare)
+    owner = np.repeat(everything, words.sizes)[at]
+    for f in RARE_BANDS:
+        common = words.least(f, 1.0, ~first & ~number & ~rare)
+        index.append(owner)
+        keys.append(_combined(50 + f, words.hash[words.codes[at]], common[owner], numbers[owner]))
+    return np.concatenate(index), np.concatenate(keys).view(np.int64)
+
+
+def beginning_keys(titles: pa.Array, shares: np.ndarray, asks: bool, beside: list[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Index and key of bands over each title's first words, for titles that may be cut (``asks``) and those that they may be the beginning of.
+
+    A cut title's last word may be broken and is left out; it asks by the widest
+    beginning that it has whole: together with each attribute in ``beside`` (hashes,
+    0 for none), and by itself where enough words are left to tell works apart.
+    """
+    words = Titles(titles, shares)
+    left = words.sizes - 1 - asks
+    index, keys = [], []
+
+    def give(own: np.ndarray, *parts: np.ndarray | int) -> None:
+        index.append(own)
+        keys.append(_combined(*parts))
+
+    for i, width in enumerate((0, *BEGINNINGS)):
+        usable = left >= width
+        if asks and i < len(BEGINNINGS):
+            usable &= left < BEGINNINGS[i]
+        inside = (words.at >= 1) & (words.at <= width)
+        for band, (part, functions) in enumerate(BESIDE_BANDS):
+            drawn = [words.least(f, 1.0, inside) for f in functions]
+            for kind, attribute in enumerate(beside):
+                own = np.flatnonzero(usable & (attribute != 0))
+                give(own, 1000 * width + 10 * band + kind, getattr(words, part)[words.first[own]], *(d[own] for d in drawn), attribute[own])
+        if width < ALONE:
+            continue
+        own = np.flatnonzero(usable)
+        for band, (part, functions) in enumerate(ALONE_BANDS):
+            give(own, 1000 * width + 100 + band, getattr(words, part)[words.first[own]], *(words.least(f, 1.0, inside)[own] for f in functions))
+        # a rare word with the least common ones, for a first word that is misspelt throughout
+        rare = inside & words.rare[words.codes] & np.repeat(usable, words.sizes)
+        at = np.flatnonzero(rare)
+        owner = np.repeat(np.arange(len(titles)), words.sizes)[at]
+        give(owner, 1000 * width + 200, words.hash[words.codes[at]], *(words.least(f, 1.0, inside & ~rare)[owner] for f in (12, 13)))
+    return np.concatenate(index), np.concatenate(keys).view(np.int64)
 
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many titles have a word of each bucket; bucket -1 counts the titles."""
+    """How often words of each bucket occur; bucket -1 counts the titles."""
     n, titles = np.zeros(BUCKETS, np.int64), 0
-    known = lru_cache(maxsize=1 << 17)(_bucket)
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            titles += 1
-            n[[known(w) for w in set(t.split())]] += 1
+        if not len(batch):
+            continue
+        words = Titles(batch.column(0))
+        titles += len(batch)
+        np.add.at(n, words.bucket, np.bincount(words.codes, minlength=len(words.words)))
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], titles))], names=["bucket", "n"])
 
 
-def word_counts(*sides: DataFrame) -> np.ndarray:
-    """The share of titles with a word of each bucket."""
+def word_shares(*sides: DataFrame) -> np.ndarray:
+    """How often a word of each bucket occurs, per title; at most BUCKETS rows reach the driver."""
     titles = sides[0].where("not generic").select("title")
     for side in sides[1:]:
         titles = titles.unionByName(side.where("not generic").select("title"))
@@ -210,95 +293,92 @@ def word_counts(*sides: DataFrame) -> np.ndarray:
     shares = np.zeros(BUCKETS)
     for at, k in n.items():
         if at >= 0:
-            shares[at] = k / n[-1]
+            shares[at] = k / (n[-1] + UNSEEN)
     return shares
 
 
-def _tails(word: str) -> list[str]:
-    """A word without its first five or six letters: of two words that differ by a letter before, one is equal."""
-    return [word[k:] for k in (5, 6) if len(word) >= k + 4] or [word]
-
-
-def _by_rareness(words: list[str], share: Callable[[str], float]) -> list[str]:
-    return sorted({w for w in words if not w[0].isdigit()}, key=lambda w: (share(w), w))
-
-
-def title_keys(title: str, share: Callable[[str], float]) -> list[int]:
-    """Keys of a title of which two share one unless its first word and its rare words are all misspelt; titles with other numbers are never equal."""
-    words = title.split() or [""]
-    numbers = " ".join(sorted(w for w in words if w[0:1].isdigit()))
-    rare = _by_rareness(words, share)
-    first = words[0]
-    others = [w for w in rare if w != first]
-    told = [w for w in rare[:RARE] if share(w) * RARE_SHARE <= 1] or rare[:1]
-    beside = others[0] if others else ""
-    return [_key("head", first[:6], numbers), *(_key("tail", x, beside, numbers) for x in _tails(first)), *(_key("word", w, numbers) for w in told if w != first)]
-
-
-def beginning_keys(title: str, share: Callable[[str], float], asks: bool) -> list[int]:
-    """Keys of a title that may be cut, and of those it may be the beginning of: parts of the first word beside words near it, and rare words, without numbers."""
-    words = title.split() or [""]
-    first, keys = words[0], []
-    # a cut title's last word may be broken and is beside nothing
-    whole = len(words) - asks
-    brief = asks and len(words) < 7
-    for at in ((2,), (4, 5)):
-        if at[-1] < whole:
-            keys.append(_key("begins", first[:6], *(words[k] for k in at), str(at)))
-    for at in ((1, 2), (2, 4, 5), (4, 5, 6)):
-        if at[-1] < whole and (brief or not asks or len(at) > 2):
-            keys += [_key("begins-tail", x, *(words[k] for k in at), str(at)) for x in _tails(first)]
-    # where few words are left, the first alone
-    if brief or not asks:
-        keys.append(_key("begins-first", first))
-    rare = _by_rareness(words, share)
-    told = [w for w in rare[:RARE] if share(w) * RARE_SHARE <= 1] or rare[:1]
-    return keys + [_key("begins-word", w) for w in told if w != first]
-
-
-def _keyer(shares, asks: bool, alike: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """id and key of titles (id, title, short): those of alike titles, and those of beginnings, which only titles that may be cut ask."""
+def _hashed(values: pa.Array) -> np.ndarray:
+    """A hash of each value, 0 for none."""
+    coded = values.dictionary_encode()
+    known = np.fromiter((_hash(v) or 1 for v in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    none = values.is_null().to_numpy(zero_copy_only=False)
+    return np.where(none, np.uint64(0), known[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)] if len(known) else np.uint64(0))
+
+
+_KEYED = ("id", "title", "doi", "trial", "registry", "venue", "generic", "short")
+
+
+def _alike(shares) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """id and key by which alike titles, cut or not, and equal DOIs meet."""
+
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(maxsize=1 << 17)(lambda w: float(shares.value[_bucket(w)]))
         for batch in batches:
-            ids, keys = [], []
-            for i, t, short in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                mine = set(title_keys(t, known) if alike else ())
-                if short or not asks:
-                    mine.update(beginning_keys(t, known, asks))
-                ids += [i] * len(mine)
-                keys += mine
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["id", "key"])
+            ids, dois = batch.column("id"), _hashed(batch.column("doi"))
+            known = np.flatnonzero(dois)
+            index, keys = [known], [_combined(7, dois[known]).view(np.int64)]
+            told = np.flatnonzero(~batch.column("generic").to_numpy(zero_copy_only=False))
+            if len(told):
+                at, key = title_keys(batch.column("title").take(pa.array(told)), shares.value)
+                index.append(told[at])
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(index))), pa.array(np.concatenate(keys))], names=["id", "key"])
 
     return give
 
 
-def _keys(rows: DataFrame, asks: bool, shares, alike: bool = True) -> DataFrame:  # noqa: ANN001
-    """id and key; cut and generic titles of the asking side use their own keys, which the other side offers for every row.
+def _reaching(shares, asks: bool, asked=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """id and key by which cut titles and titles that say nothing ask for works; of the offered ones only those that are asked for."""
 
-    Without ``alike`` only those, for a search in which the sides have changed places.
-    """
-    # any title may be whole, so each has the keys of alike titles
-    titles = rows.where("not generic").select("id", "title", "short").mapInArrow(_keyer(shares, asks, alike), "id long, key long")
-    # an incomplete attribute gives a null key, and null keys are left out
-    tagged = lambda tag, *cols: F.when(F.expr(" and ".join(f"{c} is not null" for c in cols)), F.xxhash64(F.lit(tag), *cols))
-    head = rows.withColumn("head", F.when((F.length("title") >= HEAD) & (F.lit(not asks) | F.col("short")), F.substring("title", 1, HEAD))).withColumn("bare", F.when(F.lit(not asks) | F.col("generic"), F.lit("")))
-    # equal titles share their title keys, so the whole title needs no key of its own
-    other = head.select("id", F.explode(F.array(*([tagged("doi", "doi")] if alike else []), tagged("head-trial", "head", "trial"), tagged("head-registry", "head", "registry"), tagged("head-venue", "head", "venue", "year"), tagged("trial-venue", "bare", "trial", "venue"))).alias("key"))
-    return titles.unionByName(other).where("key is not null")
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.unpackbits(np.frombuffer(asked.value, np.uint8), bitorder="little").view(bool) if asked is not None else None
+        for batch in batches:
+            generic = batch.column("generic").to_numpy(zero_copy_only=False)
+            trial, registry, venue = (_hashed(batch.column(c)) for c in ("trial", "registry", "venue"))
+            bare = np.flatnonzero((trial != 0) & (venue != 0) & (generic | (not asks)))
+            index, keys = [bare], [_combined(8, trial[bare], venue[bare]).view(np.int64)]
+            told = np.flatnonzero(~generic & (batch.column("short").to_numpy(zero_copy_only=False) | (not asks)))
+            if len(told):
+                at, key = beginning_keys(batch.column("title").take(pa.array(told)), shares.value, asks, [c[told] for c in (trial, registry, venue)])
+                index.append(told[at])
+                keys.append(key)
+            index, keys = np.concatenate(index), np.concatenate(keys)
+            if filled is not None:
+                wanted = filled[keys & (ASKED_BITS - 1)]
+                index, keys = index[wanted], keys[wanted]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(index)), pa.array(keys)], names=["id", "key"])
 
+    return give
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (left_id, right_id) that share a blocking key in either direction."""
-    shares = left.sparkSession.sparkContext.broadcast(word_counts(left, right))
 
-    def meet(asked: DataFrame, offered: DataFrame) -> DataFrame:
-        return asked.withColumnRenamed("id", "left_id").join(offered.withColumnRenamed("id", "right_id"), "key").select("left_id", "right_id")
+def _asked(keys: DataFrame) -> bytes:
+    """The filter of asked keys, one bit for each class of hashes; at most ASKED_BITS / 64 rows reach the driver."""
+    bit = F.col("key").bitwiseAND(F.lit(ASKED_BITS - 1))
+    got = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits")).toArrow()
+    out = np.zeros(ASKED_BITS // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.tobytes()
+
 
-    # cut and generic titles on the right ask the left, by all keys that such titles have
-    two = meet(_keys(left, False, shares, alike=False), _keys(right.where("short or generic"), True, shares, alike=False))
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct (left_id, right_id) that share a blocking key in either direction."""
+    if "short" not in left.columns:
+        left, right = with_short(left, right)
+    context = left.sparkSession.sparkContext
+    shares = context.broadcast(word_shares(left, right))
+    keyed = lambda rows, give: rows.select(*_KEYED).mapInArrow(give, "id long, key long")
+
+    def meet(one: DataFrame, other: DataFrame) -> DataFrame:
+        return one.withColumnRenamed("id", "left_id").join(other.withColumnRenamed("id", "right_id"), "key").select("left_id", "right_id")
+
+    def reaching(asking: DataFrame, offering: DataFrame) -> tuple[DataFrame, DataFrame]:
+        asks = keyed(asking.where("short or generic"), _reaching(shares, True))
+        return asks, keyed(offering, _reaching(shares, False, context.broadcast(_asked(asks))))
+
+    asks, offers = reaching(left, right)
+    asks_left, offers_left = reaching(right, left)
+    pairs = meet(keyed(left, _alike(shares)).unionByName(asks), keyed(right, _alike(shares)).unionByName(offers)).unionByName(meet(offers_left, asks_left))
     # by left_id, as the attributes come next
-    return meet(_keys(left, True, shares), _keys(right, False, shares)).unionByName(two).repartition("left_id").distinct()
+    return pairs.repartition("left_id").distinct()
 
 
 FEATURES = ("equal", "slips", "close", "begins", "generic", "differs", "unlike", "trial_same", "trial_other", "registry_same", "registry_other", "venue_same", "venue_other", "year_same", "year_near", "year_far", "alone")
@@ -321,7 +401,7 @@ def _apart(n: Column) -> Column:
 def compare(pairs: DataFrame) -> DataFrame:
     """The features, as bits of a mask, of pairs whose sides' attributes are prefixed l_ and r_."""
     a, b = F.split("l_title", " "), F.split("r_title", " ")
-    rows = pairs.withColumns({"a": F.when(F.length("l_title") <= F.length("r_title"), a).otherwise(b), "b": F.when(F.length("l_title") <= F.length("r_title"), b).otherwise(a), "cut": F.col("l_short") | F.col("r_short")})
+    rows = pairs.withColumns({"a": F.when(F.length("l_title") <= F.length("r_title"), a).otherwise(b), "b": F.when(F.length("l_title") <= F.length("r_title"), b).otherwise(a), "cut": F.when(F.length("l_title") <= F.length("r_title"), F.col("l_short")).otherwise(F.col("r_short"))})
     rows = rows.withColumn("n", F.size("a"))
     numbers = lambda c: F.filter(c, lambda w: w.rlike("^[0-9]"))
     words = F.when(F.col("l_title") == F.col("r_title"), F.lit(0)).when(F.size("b") == F.col("n"), _apart(F.col("n")))
@@ -394,13 +474,15 @@ def match_works(left: DataFrame, right: DataFrame) -> DataFrame:
     classes (tiny or empty tables) fixed prior weights are used.
     """
     scratch = Scratch(left.sparkSession, "linkage")
-    left, right = scratch.cut(left, "left"), scratch.cut(right, "right")
+    left, right = with_short(scratch.cut(left, "left"), scratch.cut(right, "right"))
     attributes = ("id", "title", "doi", "trial", "registry", "venue", "year", "short", "generic")
     # what is only compared for equality travels as a hash
     slim = lambda c: F.when(F.col(c).isNotNull(), F.hash(c)) if c in ("doi", "trial", "registry", "venue") else F.col(c)
     prefixed = lambda df, side: df.select(*[slim(c).alias(f"{side}_{c}" if c != "id" else ("left_id" if side == "l" else "right_id")) for c in attributes])
     pairs = candidates(left, right).join(prefixed(left, "l"), "left_id").join(prefixed(right, "r"), "right_id")
     featured = scratch.cut(compare(pairs), "pairs")
+    scratch.drop("left")
+    scratch.drop("right")
     # a bounded sample: the labelled pairs with the least hash; those that only a DOI brought together are no evidence on titles
     labelled = featured.where("doi_agrees <> 0").withColumn("order", F.xxhash64("left_id", "right_id")).orderBy("order", "left_id", "right_id").limit(LABELLED_PAIRS)
     # equal masks are counted; there are at most 2 ** len(FEATURES) of them, and in practice some dozens

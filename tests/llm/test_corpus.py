@@ -124,11 +124,26 @@ def test_tidy_attributes():
     assert linkage.tidy_venue("Annals of Tumour Medicine") == linkage.tidy_venue("AoTM") == "aotm"
 
 
-def test_sketches_and_bands_follow_similarity():
-    same, slip, other = linkage.tidy_title(TITLE), linkage.tidy_title(TITLE.replace("observation", "obsrvation")), linkage.tidy_title("Zimgosurrbdegib plus placebo in ovarian cancer: primary results of ONDTAVHUR-79")
-    keys, sketch = linkage.band_keys([same, slip, other], [None] * 3, [None] * 3)
-    apart = lambda i, j: bin(int(np.uint64(sketch[i]) ^ np.uint64(sketch[j]))).count("1")
-    assert set(keys[0]) & set(keys[1]) and not set(keys[0]) & set(keys[2]) and apart(0, 1) < 13 < apart(0, 2)
+def test_bands_follow_similarity():
+    import pyarrow as pa
+
+    slip, other = TITLE.replace("observation", "obsrvation"), "Zimgosurrbdegib plus placebo in ovarian cancer: primary results of ONDTAVHUR-79"
+    index, keys = linkage.title_keys(linkage.tidy_titles(pa.array([TITLE, slip, other])), np.zeros(linkage.BUCKETS))
+    mine = [set(keys[index == i].tolist()) for i in range(3)]
+    assert mine[0] & mine[1] and not mine[0] & mine[2]
+
+
+def test_weighted_minhash_draws_by_rarity():
+    import pyarrow as pa
+
+    shares = np.zeros(linkage.BUCKETS)
+    shares[linkage._bucket("often")] = 0.5
+    words = linkage.Titles(pa.array(["often rare"]), shares)
+    mask = np.ones(2, bool)
+    alone = linkage.Titles(pa.array(["rare"]), shares)
+    rare = sum(words.least(f, 1.0, mask)[0] == alone.least(f, 1.0, mask[:1])[0] for f in range(2000))
+    weight = {"often": math.log(2), "rare": math.log(linkage.FLATTEST)}
+    assert rare / 2000 == pytest.approx(weight["rare"] / sum(weight.values()), abs=0.03)
 
 
 def _sides(spark, left, right):
