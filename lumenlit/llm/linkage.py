@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from hashlib import blake2b
-from zlib import crc32
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from lumenlit.scratch import Scratch
 
@@ -80,14 +80,15 @@ def tidy_title(title: str | None) -> str:
     return tidy_titles(pa.array([title], pa.string()))[0].as_py()
 
 
-def _mapped(values: pa.Array, change: Callable[[str | None], str | None]) -> pa.Array:
+def _mapped(values: pa.Array, change: Callable[[str], str | int | None], kind: pa.DataType = pa.string()) -> pa.Array:
     """Every value of an array changed; each distinct one once."""
     coded = values.dictionary_encode()
-    return pa.array([change(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    return pa.array([change(v) for v in coded.dictionary.to_pylist()], kind).take(coded.indices)
 
 
+@lru_cache(maxsize=1 << 17)
 def _plain_word(word: str) -> str:
-    return _SAME_WORDS.get(word) or _SPELLING.sub("iz", word)
+    return _SAME_WORDS.get(word) or (_SPELLING.sub("iz", word) if "is" in word else word)
 
 
 def tidy_doi(doi: str | None) -> str | None:
@@ -122,10 +123,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hash(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_SIDE = "id long, title string, doi string, trial string, registry string, venue string, year int, marked boolean, generic boolean"
+@lru_cache(maxsize=1 << 17)
+def _known(word: str) -> tuple[int, int, int, bool]:
+    """The hashes of a word, of its head and of its tail, and whether it is a number."""
+    # of two long words that differ by a letter, the first seven letters are equal or the last ones
+    return _hash(word), _hash("head " + word[:7]), _hash("tail " + word[-11:]), word[:1].isdigit()
+
+
+def _signed(value: str | None) -> int | None:
+    """A hash of a value, as a long; null for none."""
+    return None if value is None else _hash(value) - (1 << 63)
+
+
+_SIDE = "id long, title string, doi long, trial long, registry long, venue long, year int, marked boolean, generic boolean"
 
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +148,12 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = pc.less(pc.count_substring(t, " "), 2)
         generic = pc.or_(pc.is_in(t, pa.array(sorted(GENERIC_TITLES))), few)
         marked = pc.and_(pc.fill_null(pc.match_substring_regex(title, _MARKS), False), pc.invert(generic))
-        columns = [rid, t, _mapped(doi, tidy_doi), _mapped(trial, tidy_trial), _mapped(registry, tidy_registry), _mapped(venue, tidy_venue), year, marked, generic]
+        columns = [rid, t, *(_mapped(c, lambda v, tidy=tidy: _signed(tidy(v)), pa.int64()) for c, tidy in ((doi, tidy_doi), (trial, tidy_trial), (registry, tidy_registry), (venue, tidy_venue))), year, marked, generic]
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SIDE.split(", ")])
 
 
 def comparable(rows: DataFrame, key: str, title: str, doi: str, trial: str, registry: str, venue: str, year: Column) -> DataFrame:
-    """One side in comparable attributes; ``marked`` titles say themselves that they are cut."""
+    """One side in comparable attributes, of which those only compared for equality are hashed; ``marked`` titles say themselves that they are cut."""
     given = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate((title, doi, trial, registry, venue))], year.cast("int").alias("year"))
     return given.mapInArrow(_prepared, _SIDE)
 
@@ -167,7 +180,7 @@ def with_short(*sides: DataFrame) -> list[DataFrame]:
 
 
 def _bucket(word: str) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+    return _known(word)[0] % BUCKETS
 
 
 class Titles:
@@ -181,24 +194,24 @@ class Titles:
         self.starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         self.sizes = np.diff(split.offsets.to_numpy())
         self.at = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)  # place in the title
-        self.bucket = np.fromiter(map(_bucket, self.words), np.int64, len(self.words))
+        of = np.array([_known(w) for w in self.words], np.uint64).reshape(-1, 4)
+        self.hash, self.head, self.tail, self.number = of[:, 0], of[:, 1], of[:, 2], of[:, 3] > 0
+        self.bucket = (self.hash % np.uint64(BUCKETS)).astype(np.int64)
         if shares is None:
             return
-        self.hash = np.fromiter(map(_hash, self.words), np.uint64, len(self.words))
-        self.head = np.fromiter((_hash("head " + w[:7]) for w in self.words), np.uint64, len(self.words))
-        # of two long words that differ by a letter, the first seven letters are equal or the last ones
-        self.tail = np.fromiter((_hash("tail " + w[-11:]) for w in self.words), np.uint64, len(self.words))
         self.share = shares[self.bucket]
-        self.number = np.fromiter((w[:1].isdigit() for w in self.words), bool, len(self.words))
         self.rare = self.share * RARE_SHARE <= 1
         self.rarity = -np.log(np.clip(self.share, 1 / FLATTEST, 0.95))
         self.first = self.codes[self.starts]
 
-    def least(self, function: int, power: float, mask: np.ndarray) -> np.ndarray:
-        """The weighted MinHash of each title over its words in the mask: words are drawn in proportion to rarity ** power."""
+    def drawn(self, function: int, power: float) -> np.ndarray:
+        """A hash of each distinct word: the least of several is one of them in proportion to rarity ** power."""
         u = (_mix(self.hash ^ np.uint64(0xA24BAED4963EE407 * function & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) / 2**53
-        drawn = -np.log(np.maximum(u, 1e-300)) / self.rarity**power
-        return np.minimum.reduceat(np.where(mask, drawn[self.codes], np.inf), self.starts).view(np.uint64)
+        return -np.log(np.maximum(u, 1e-300)) / self.rarity**power
+
+    def least(self, function: int, power: float, mask: np.ndarray) -> np.ndarray:
+        """The weighted MinHash of each title over its words in the mask."""
+        return np.minimum.reduceat(np.where(mask, self.drawn(function, power)[self.codes], np.inf), self.starts).view(np.uint64)
 
     def numbers(self) -> np.ndarray:
         """A hash of each title's numbers, in any order."""
@@ -247,26 +260,34 @@ def beginning_keys(titles: pa.Array, shares: np.ndarray, asks: bool, beside: lis
         index.append(own)
         keys.append(_combined(*parts))
 
+    # the words after the first as a grid, in which the least of a beginning is a running one
+    place = np.minimum(words.starts[:, None] + np.arange(1, BEGINNINGS[-1] + 1), max(len(words.codes) - 1, 0))
+    grid, head = words.codes[place], {"head": words.head, "tail": words.tail}
+    rare = words.rare[grid]
+
+    @lru_cache(maxsize=None)
+    def least(function: int, common: bool = False) -> np.ndarray:
+        values = words.drawn(function, 1.0)[grid]
+        return np.minimum.accumulate(np.where(rare, np.inf, values) if common else values, axis=1).view(np.uint64)
+
     for i, width in enumerate((0, *BEGINNINGS)):
         usable = left >= width
         if asks and i < len(BEGINNINGS):
             usable &= left < BEGINNINGS[i]
-        inside = (words.at >= 1) & (words.at <= width)
+        usable = np.flatnonzero(usable)
+        drawn = lambda functions, own, common=False: [least(f, common)[own, width - 1] for f in functions] if width else []  # noqa: B023, E731
         for band, (part, functions) in enumerate(BESIDE_BANDS):
-            drawn = [words.least(f, 1.0, inside) for f in functions]
             for kind, attribute in enumerate(beside):
-                own = np.flatnonzero(usable & (attribute != 0))
-                give(own, 1000 * width + 10 * band + kind, getattr(words, part)[words.first[own]], *(d[own] for d in drawn), attribute[own])
+                own = usable[attribute[usable] != 0]
+                give(own, 1000 * width + 10 * band + kind, head[part][words.first[own]], *drawn(functions, own), attribute[own])
         if width < ALONE:
             continue
-        own = np.flatnonzero(usable)
         for band, (part, functions) in enumerate(ALONE_BANDS):
-            give(own, 1000 * width + 100 + band, getattr(words, part)[words.first[own]], *(words.least(f, 1.0, inside)[own] for f in functions))
+            give(usable, 1000 * width + 100 + band, head[part][words.first[usable]], *drawn(functions, usable))
         # a rare word with the least common ones, for a first word that is misspelt throughout
-        rare = inside & words.rare[words.codes] & np.repeat(usable, words.sizes)
-        at = np.flatnonzero(rare)
-        owner = np.repeat(np.arange(len(titles)), words.sizes)[at]
-        give(owner, 1000 * width + 200, words.hash[words.codes[at]], *(words.least(f, 1.0, inside & ~rare)[owner] for f in (12, 13)))
+        own, at = np.nonzero(rare[usable, :width])
+        own = usable[own]
+        give(own, 1000 * width + 200, words.hash[grid[own, at]], *drawn((12, 13), own, True))
     return np.concatenate(index), np.concatenate(keys).view(np.int64)
 
 
@@ -298,11 +319,8 @@ def word_shares(*sides: DataFrame) -> np.ndarray:
 
 
 def _hashed(values: pa.Array) -> np.ndarray:
-    """A hash of each value, 0 for none."""
-    coded = values.dictionary_encode()
-    known = np.fromiter((_hash(v) or 1 for v in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    none = values.is_null().to_numpy(zero_copy_only=False)
-    return np.where(none, np.uint64(0), known[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)] if len(known) else np.uint64(0))
+    """Hashed values as unsigned numbers, 0 for none."""
+    return values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 _KEYED = ("id", "title", "doi", "trial", "registry", "venue", "generic", "short")
@@ -428,7 +446,7 @@ def compare(pairs: DataFrame) -> DataFrame:
     mask = F.lit(0)
     for i, name in enumerate(FEATURES):
         mask = mask + F.when(out[name], 1 << i).otherwise(0)
-    return rows.select("left_id", "right_id", F.xxhash64("r_title").alias("same_title"), doi.cast("int").alias("doi_agrees"), mask.cast("int").alias("mask"))
+    return rows.select("left_id", "right_id", F.hash("r_title").alias("same_title"), doi.cast("int").alias("doi_agrees"), mask.cast("int").alias("mask"))
 
 
 def _unpacked(masks: np.ndarray) -> np.ndarray:
@@ -476,7 +494,7 @@ def match_works(left: DataFrame, right: DataFrame) -> DataFrame:
     scratch = Scratch(left.sparkSession, "linkage")
     left, right = with_short(scratch.cut(left, "left"), scratch.cut(right, "right"))
     attributes = ("id", "title", "doi", "trial", "registry", "venue", "year", "short", "generic")
-    # what is only compared for equality travels as a hash
+    # what is only compared for equality travels as a short hash
     slim = lambda c: F.when(F.col(c).isNotNull(), F.hash(c)) if c in ("doi", "trial", "registry", "venue") else F.col(c)
     prefixed = lambda df, side: df.select(*[slim(c).alias(f"{side}_{c}" if c != "id" else ("left_id" if side == "l" else "right_id")) for c in attributes])
     pairs = candidates(left, right).join(prefixed(left, "l"), "left_id").join(prefixed(right, "r"), "right_id")
