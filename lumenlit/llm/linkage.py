@@ -38,6 +38,7 @@ ALONE = 3
 FLATTEST = 1000  # words of fewer titles than one in FLATTEST all weigh the same, so that a misspelt word is no more likely to be drawn
 RARE_SHARE, BUCKETS = 200, 1 << 16  # a word of more than one title in RARE_SHARE is not rare; words are counted by hash
 UNSEEN = 1000  # titles without a given word that are assumed beside those seen, so that few titles make no word common
+KEY_BITS = 48  # what a key takes in a shuffle; chance pairs stay rare far beyond 10**12 keys
 ASKED_BITS = 1 << 22  # the filter of beginnings that are asked for, whatever the input; it only saves keys and loses none
 LABELLED_PAIRS = 40_000  # bound of the labelled sample that the classifier is fitted on
 MIN_CONFIDENCE = 0.5
@@ -222,7 +223,7 @@ def _combined(*parts: np.ndarray | int) -> np.ndarray:
     key = np.zeros(1, np.uint64)
     for part in parts:
         key = _mix((key ^ np.uint64(0x2545F4914F6CDD1D)) + np.asarray(part, np.uint64))
-    return key
+    return key >> np.uint64(64 - KEY_BITS)
 
 
 def title_keys(titles: pa.Array, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,6 +400,22 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.repartition("left_id").distinct()
 
 
+def _packed() -> dict[str, Column]:
+    """A side's attributes as it travels: those only compared for equality as short hashes, 0 for none, in few columns."""
+    short = lambda c: F.when(F.col(c).isNotNull(), F.hash(c)).otherwise(0)
+    pair = lambda high, low: F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    flags = F.coalesce("year", F.lit(0)) * 4 + F.col("short").cast("int") * 2 + F.col("generic").cast("int")
+    return {"title": F.col("title"), "doi": short("doi"), "near": pair(short("trial"), short("registry")), "far": pair(short("venue"), flags)}
+
+
+def _opened(side: str) -> dict[str, Column]:
+    """The attributes that ``_packed`` packed."""
+    low = lambda c: F.shiftright(F.shiftleft(f"{side}_{c}", 32), 32).cast("int")
+    high = lambda c: F.shiftright(f"{side}_{c}", 32).cast("int")
+    given = {"doi": F.col(f"{side}_doi"), "trial": high("near"), "registry": low("near"), "venue": high("far"), "year": F.shiftright(low("far"), 2)}
+    return {f"{side}_{k}": F.nullif(v, F.lit(0)) for k, v in given.items()} | {f"{side}_short": low("far").bitwiseAND(F.lit(2)) != 0, f"{side}_generic": low("far").bitwiseAND(F.lit(1)) != 0}
+
+
 FEATURES = ("equal", "slips", "close", "begins", "generic", "differs", "unlike", "trial_same", "trial_other", "registry_same", "registry_other", "venue_same", "venue_other", "year_same", "year_near", "year_far", "alone")
 
 
@@ -446,7 +463,8 @@ def compare(pairs: DataFrame) -> DataFrame:
     mask = F.lit(0)
     for i, name in enumerate(FEATURES):
         mask = mask + F.when(out[name], 1 << i).otherwise(0)
-    return rows.select("left_id", "right_id", F.hash("r_title").alias("same_title"), doi.cast("int").alias("doi_agrees"), mask.cast("int").alias("mask"))
+    vague = F.col("kind").isin("begins", "generic")
+    return rows.select("left_id", "right_id", F.when(vague, F.hash("r_title")).alias("same_title"), doi.cast("int").alias("doi_agrees"), mask.cast("int").alias("mask"))
 
 
 def _unpacked(masks: np.ndarray) -> np.ndarray:
@@ -493,12 +511,13 @@ def match_works(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     scratch = Scratch(left.sparkSession, "linkage")
     left, right = with_short(scratch.cut(left, "left"), scratch.cut(right, "right"))
-    attributes = ("id", "title", "doi", "trial", "registry", "venue", "year", "short", "generic")
-    # what is only compared for equality travels as a short hash
-    slim = lambda c: F.when(F.col(c).isNotNull(), F.hash(c)) if c in ("doi", "trial", "registry", "venue") else F.col(c)
-    prefixed = lambda df, side: df.select(*[slim(c).alias(f"{side}_{c}" if c != "id" else ("left_id" if side == "l" else "right_id")) for c in attributes])
+    prefixed = lambda df, side: df.select(F.col("id").alias("left_id" if side == "l" else "right_id"), *[c.alias(f"{side}_{n}") for n, c in _packed().items()])
     pairs = candidates(left, right).join(prefixed(left, "l"), "left_id").join(prefixed(right, "r"), "right_id")
-    featured = scratch.cut(compare(pairs), "pairs")
+    compared = compare(pairs.withColumns(_opened("l") | _opened("r")))
+    # ids are unique in sound tables; a repeated one must not repeat its pairs, which lie together already
+    told = F.max((F.col("doi_agrees") + 1) * (1 << len(FEATURES)) + F.col("mask")).alias("told")
+    once = compared.groupBy("left_id", "right_id").agg(F.max("same_title").alias("same_title"), told)
+    featured = scratch.cut(once, "pairs").selectExpr("left_id", "right_id", "same_title", f"shiftright(told, {len(FEATURES)}) - 1 doi_agrees", f"told & {(1 << len(FEATURES)) - 1} mask")
     scratch.drop("left")
     scratch.drop("right")
     # a bounded sample: the labelled pairs with the least hash; those that only a DOI brought together are no evidence on titles
@@ -548,5 +567,4 @@ def works_of_evidence(evidence: DataFrame, catalog: DataFrame, least: float = MI
     left = comparable(evidence, "evidence_id", "title", "doi", "trial_name", "nct_id", "journal", year)
     right = comparable(catalog, "catalog_id", "title", "doi", "trial_label", "nct_number", "venue", F.col("pub_year"))
     matched = match_works(left, right).where(F.col("confidence") >= least)
-    # ids are unique in sound tables; a repeated one must not repeat its pairs
-    return matched.groupBy(F.col("left_id").alias("evidence_id"), F.col("right_id").alias("catalog_id")).agg(F.max("confidence").alias("confidence"))
+    return matched.select(F.col("left_id").alias("evidence_id"), F.col("right_id").alias("catalog_id"), "confidence")
