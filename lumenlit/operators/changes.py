@@ -56,3 +56,43 @@ def guarded(rows: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     if first:
         raise ValueError(f"rule {first[0]['rule']} does not hold for {key} {first[0][key]}")
     return rows
+
+
+def with_actor(log: DataFrame, *people: str) -> DataFrame:
+    """The log with its actor: the first of the given columns that names somebody."""
+    return log.withColumn("actor", F.coalesce(*people))
+
+
+def correction_entries(corrections: DataFrame, subject: str, by: str, note: str, patched: list[str]) -> DataFrame:
+    """Every correction as an entry of the log: subject, actor, action and a JSON diff of its note and the patched fields."""
+    diff = F.to_json(F.struct(F.col(note).alias("note"), F.struct(*patched).alias("patched_fields")))
+    return corrections.select(subject, F.col(by).alias("actor"), F.lit("corrected").alias("action"), diff.alias("diff"))
+
+
+def linked(users: DataFrame, user: str, address: str, accounts: DataFrame, account: str, account_address: str) -> DataFrame:
+    """Users with the account of their address, case aside; the least of several, null without one."""
+    known = accounts.select(F.lower(account_address).alias("address_"), F.col(account).alias("account_")).groupBy("address_").agg(F.min("account_").alias(account))
+    return users.withColumn("address_", F.lower(address)).join(known, "address_", "left").drop("address_")
+
+
+def inserted_if_absent(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """current and the incoming rows whose key it does not have; one of each key."""
+    return current.unionByName(incoming.dropDuplicates(key).join(current.select(*key), key, "left_anti"))
+
+
+def subscriber_action(rows: DataFrame, action: Column, token: Column) -> DataFrame:
+    """Subscribers after 'store' (the token is kept and mail turns to both ways), 'clear' (no token) or 'unsubscribe' (no longer verified); others stay."""
+    did = F.coalesce(action, F.lit(""))
+    return rows.withColumns({
+        "delivery": F.when((did == "store") & (F.col("delivery") == "email"), "both").otherwise(F.col("delivery")),
+        "push_token": F.when(did == "store", token).when(did != "clear", F.col("push_token")),
+        "verified": F.when(did == "unsubscribe", False).otherwise(F.col("verified")),
+    })
+
+
+def touched(old: DataFrame, new: DataFrame, key: list[str], watched: list[str], stamp: str, now: Column) -> DataFrame:
+    """key and stamp of all rows: ``now`` for those that are new or changed in a watched column, else the old stamp."""
+    a = old.select(*key, F.struct(*watched).alias("a_"), F.col(stamp).alias("old_"))
+    b = new.select(*key, F.struct(*watched).alias("b_"))
+    changed = F.col("b_").isNotNull() & ~F.col("a_").eqNullSafe(F.col("b_"))
+    return a.join(b, key, "full_outer").select(*key, F.when(changed, now).otherwise(F.col("old_")).alias(stamp))

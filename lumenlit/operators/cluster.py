@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from lumenlit.conf import vocabulary as V
 from lumenlit.functions.text import stripped
 
-MAX_EVIDENCE = 1000  # evidence rows listed with one signal; their number is always complete
-
 
 def source_priority(source_type: Column) -> Column:
     mapping = F.create_map(*(F.lit(x) for kv in V.SOURCE_PRIORITY.items() for x in kv))

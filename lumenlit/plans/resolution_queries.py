@@ -125,7 +125,7 @@ def trial_names(spark, folder):
 
 def comment_counts(spark, folder):
     comments = table(spark, folder, "comments", "comment_id", "alert_id").distinct()
-    wanted = comments.select("alert_id").where("alert_id < '8'")
+    wanted = comments.select("alert_id")  # every alert that has comments
     return metrics.counts_for(comments, "alert_id", wanted)
 
 
@@ -189,6 +189,6 @@ SELECT cluster_key, CAST(sum(c) AS BIGINT) AS sources, (list(first_id ORDER BY p
     "setting_names": "SELECT record_no, CASE setting " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in V.SETTING_NAMES.items()) + " ELSE 'localized' END AS setting_name FROM oncology_signals",
     "tier_histogram": "SELECT v.tier_code, count(s.record_no) AS n FROM (SELECT unnest(['A', 'B', 'C', 'NOISE', 'HELD']) AS tier_code) v LEFT JOIN oncology_signals s ON s.tier_code = v.tier_code GROUP BY 1",
     "trial_names": "SELECT upper(trim(source_type)) AS source_type, count(DISTINCT trim(trial_name)) AS names, min(trim(trial_name)) AS first_name FROM evidence_sources WHERE regexp_matches(trim(trial_name), '^[A-Z]+-[0-9]+$') GROUP BY 1",
-    "comment_counts": "SELECT alert_id, count(DISTINCT comment_id) AS n FROM comments WHERE alert_id < '8' GROUP BY 1",
+    "comment_counts": "SELECT alert_id, count(DISTINCT comment_id) AS n FROM comments WHERE alert_id IS NOT NULL GROUP BY 1",
     "source_counts": "SELECT lane, count(*) AS n FROM (SELECT source_key AS lane FROM news_records UNION ALL SELECT source FROM fda_items) GROUP BY 1",
 }

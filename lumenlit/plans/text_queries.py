@@ -40,7 +40,7 @@ def json_flatten(spark, folder):
 def json_build(spark, folder):
     rows = table(spark, folder, "events", "event_id", "event_type", "props")
     built = F.to_json(F.struct("event_type", F.from_json("props", "k bigint").alias("props")))
-    return rows.select("event_id", built.alias("document")).where("event_id < 5000000").select("event_id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.props.k").cast("long").alias("k"))
+    return rows.select("event_id", built.alias("document")).select("event_id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.props.k").cast("long").alias("k"))
 
 
 def key_findings(spark, folder):
@@ -113,7 +113,7 @@ p AS (SELECT day, meeting, leeway, make_date(y, mon, 1) AS pub FROM d, m, (SELEC
 SELECT CAST(day AS VARCHAR) AS day, meeting, CAST(CAST(max(pub) AS DATE) - CAST(any_value(leeway) AS INTEGER) AS VARCHAR) AS window_start, CAST(least(CAST(max(pub) AS DATE) + 35, day) AS VARCHAR) AS window_end FROM p WHERE day - pub BETWEEN 0 AND 35 + leeway GROUP BY p.day, meeting""",
     "week_label": "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, count(*) AS n FROM events GROUP BY 1",
     "json_flatten": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "json_build": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 5000000",
+    "json_build": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "key_findings": f"SELECT record_no, concat_ws(' · ', {_given('key_finding')}, {_given('so_what')}, {_given('limitations')}) AS findings FROM oncology_signals",
     "html_strip": f"SELECT news_id, trim(regexp_replace({_strip}, '\\s+', ' ', 'g')) AS plain FROM news_records",
     "html_escape": f"SELECT fda_id, {_escape} AS safe FROM fda_items",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAGE_ROWS = 10_000  # a page is put together by the driver
+PAGE_ROWS = 10_000  # a page is put together by the driver
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
@@ -55,16 +56,37 @@ def prune_backups(spark, path: str, keep: int = 10) -> list[str]:
     return names[keep:]
 
 
+def digest_pages(rows: DataFrame, title: str, tier: str = "tier", text: str = "title", link: str = "url", size: int = PAGE_ROWS) -> Iterator[str]:
+    """HTML pages of at most ``size`` rows each under headings per tier, whose counts are of all rows; text is escaped.
+
+    No row is left out; the driver holds one page at a time.  Without rows there is one page.
+    """
+    named = F.coalesce(tier, F.lit("")).alias("tier_")
+    counts = dict(rows.groupBy(named).count().collect())  # a row per tier
+    given = rows.select(named, F.col(text).alias("text_"), F.col(link).alias("link_")).orderBy("tier_", "text_", "link_").toLocalIterator(prefetchPartitions=True)
+
+    def page(part: list) -> str:
+        lines, head = [f"<html><body><h1>{html.escape(title)}</h1>"], None
+        for name, shown, address in part:
+            if name != head:
+                lines += ["</ul>"] * (head is not None) + [f"<h2>{html.escape(name)} ({counts[name]})</h2><ul>"]
+                head = name
+            lines.append(f'<li><a href="{html.escape(address or "", quote=True)}">{html.escape(shown or "")}</a></li>')
+        return "\n".join([*lines, *["</ul>"] * (head is not None), "</body></html>"])
+
+    part: list = []
+    for row in given:
+        part.append(row)
+        if len(part) == size:
+            yield page(part)
+            part = []
+    if part or not counts:
+        yield page(part)
+
+
 def digest_page(rows: DataFrame, title: str, tier: str = "tier", text: str = "title", link: str = "url") -> str:
-    """An HTML page of at most ``MAX_PAGE_ROWS`` rows under headings per tier, with counts; text is escaped."""
-    got = rows.select(tier, text, link).orderBy(tier, text).limit(MAX_PAGE_ROWS).collect()
-    parts = [f"<html><body><h1>{html.escape(title)}</h1>"]
-    for head in sorted({r[tier] or "" for r in got}):
-        mine = [r for r in got if (r[tier] or "") == head]
-        parts.append(f"<h2>{html.escape(head)} ({len(mine)})</h2><ul>")
-        parts += [f'<li><a href="{html.escape(r[link] or "", quote=True)}">{html.escape(r[text] or "")}</a></li>' for r in mine]
-        parts.append("</ul>")
-    return "\n".join([*parts, "</body></html>"])
+    """All pages of ``digest_pages`` in one text."""
+    return "\n".join(digest_pages(rows, title, tier, text, link))
 
 
 def deliver(messages: DataFrame, path: str, send, dry_run: bool = True) -> int:
