@@ -32,5 +32,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return normalise_timestamps(written_dates(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """The moments that the order of each source alone decides, every declared day/month order withheld."""
+    return normalise_timestamps(written_dates(spark, folder).withColumn("day_month", F.lit(None).cast("string")))
+
+
+def p2_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Per table: the records read both ways, and for how many the inferred moment is the one by the declared order."""
+    both = p2_found(spark, folder).join(p2_inferred(spark, folder).withColumnRenamed("moment", "inferred"), ["table_name", "record_id"])
+    counts = both.groupBy("table_name").agg(F.count("*").alias("records"), F.count_if(F.col("moment") == F.col("inferred")).alias("agreed"))
+    return counts.withColumn("share", F.round(F.col("agreed") / F.col("records"), 6))
+
+
+QUERIES = {"p2_found": p2_found, "p2_inferred": p2_inferred, "p2_agreement": p2_agreement}
 SQL: dict[str, str] = {}

@@ -98,3 +98,23 @@ def test_order_in_source_decides_without_a_declared_order(spark):
     rows = [("s", "t", i, datetime(2024, 3, i + 1, tzinfo=timezone.utc), raw, "UTC", None, None) for i, raw in enumerate(raws)]
     found = {r.record_id: r.moment for r in T.normalise_timestamps(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found[0] == "2024-01-10" and found[3] == "2024-02-05"
+
+
+def test_inferred_order_agrees_with_the_declared_one(spark, sf):
+    from lumenlit.plans.timestamp_queries import p2_agreement
+
+    got = {r.table_name: r for r in p2_agreement(spark, sf).collect()}
+    assert set(got) == {"news_records", "fda_items", "candidates"} and all(0 < r.agreed <= r.records for r in got.values())
+    assert got["candidates"].share == 1.0 and min(r.share for r in got.values()) >= 0.9
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from lumenlit.scratch import Scratch
+
+    scratch = Scratch(spark, "here")
+    kept = scratch.cut(spark.range(3), "a")
+    assert kept.count() == 3 and Path(scratch.root).exists()
+    scratch.close()
+    assert not Path(scratch.root).exists()
