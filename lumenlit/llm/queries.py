@@ -23,6 +23,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return truth.surviving_records(signals, evidence, table(spark, folder, "source_trust"))
 
 
+def p3_truth(spark: SparkSession, folder: str) -> DataFrame:
+    signals = table(spark, folder, "oncology_signals", "record_no", "signal_id", "signal_title", "intervention", "updated_at")
+    return truth.summed_records(signals, table(spark, folder, "evidence_sources", "record_no", "source_type"))
+
+
 def source_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every abstract and summary in the shape that the truncation operator takes."""
     news = table(spark, folder, "news_records", "news_id", "source_key", "abstract").selectExpr("'news_records' table_name", "news_id record_id", "source_key source", "abstract text")
@@ -91,7 +96,11 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.consistent_texts(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "form", "mixed_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_confidence": p7_confidence, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return visual.look_classes(table(spark, folder, "documents", "doc_id", "text"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_truth": p3_truth, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_confidence": p7_confidence, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes}
 
 SQL = {
     "p3_found": """

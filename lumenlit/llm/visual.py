@@ -166,6 +166,19 @@ def consistent_texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_forms, "doc_id long, text string, form string, mixed_tokens int")
 
 
+def _members(documents: DataFrame) -> DataFrame:
+    """doc_id, look (a digest of the form) and stored (a digest of the text) of every text, worked out once."""
+    members = consistent_texts(documents.where("text is not null and doc_id is not null")).select("doc_id", F.md5("form").alias("look"), F.md5("text").alias("stored"))
+    return Scratch(documents.sparkSession, "look-alikes").cut(members, "members")
+
+
+def look_classes(documents: DataFrame) -> DataFrame:
+    """look, stored and the number of documents of each stored form that shares its look with another; a class of any size is a few rows."""
+    stored = _members(documents).distinct().groupBy("look", "stored").agg(F.count("*").alias("documents"))
+    varied = stored.groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1")
+    return stored.join(varied, "look")
+
+
 def look_alikes(documents: DataFrame) -> DataFrame:
     """doc_a < doc_b for each pair of documents that look the same but are stored differently.
 
@@ -173,8 +186,7 @@ def look_alikes(documents: DataFrame) -> DataFrame:
     mark.  Repeats of a stored text are paired with every differing twin, never
     with each other; a repeated doc_id counts once per stored text.
     """
-    members = consistent_texts(documents.where("text is not null and doc_id is not null")).select("doc_id", F.md5("form").alias("look"), F.md5("text").alias("stored"))
-    members = Scratch(documents.sparkSession, "look-alikes").cut(members, "members")  # the forms are worked out once
+    members = _members(documents)
     varied = members.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("look")
     members = members.join(varied, "look", "left_semi").distinct()
     classes = members.select("look", "stored").distinct()

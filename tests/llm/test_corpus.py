@@ -46,6 +46,17 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert len(packing.complete_bins(hard, 20)) == 3
 
 
+def test_exhaustive_packing_is_proved():
+    rng = random.Random(11)
+    for _ in range(40):
+        sizes = [rng.randint(20, 70) for _ in range(rng.randint(1, 10))]
+        packed, proved = packing.proved_bins(sizes, 100, None, None, None)
+        assert proved and len(packed) == _optimal(sizes, 100)
+    hard = [rng.randint(26, 49) for _ in range(60)]
+    packed, proved = packing.proved_bins(hard, 100, nodes=1)
+    assert not proved or len(packed) == -(-sum(hard) // 100)
+
+
 def test_packing(spark):
     rng = random.Random(7)
     sizes = {i: rng.randint(1, 300) for i in range(500)} | {1000: 2500, 1001: 2000, 1002: 0}
@@ -62,7 +73,7 @@ def test_packing(spark):
     assert sorted(per[1000]) == [(0, 1000), (1000, 1000), (2000, 500)] and len(per[1003]) == 1
     assert len(fill) <= math.ceil(sum(sizes.values()) / 1000) + 2
     report = packing.fill_report(packing.pack_documents(df, 1000), 1000).first()
-    assert report.containers == len(fill) and report.tokens == sum(sizes.values())
+    assert report.containers == len(fill) and report.tokens == sum(sizes.values()) and 0 <= report.shards_by_limit <= 2
     assert packing.pack_documents(df.where("false"), 10).count() == 0
     with pytest.raises(ValueError):
         packing.pack_documents(df, 0)

@@ -113,3 +113,17 @@ def test_surviving_records(spark):
     trust = spark.createDataFrame([("FDA", 100), ("PUBMED", 70)], "source_type string, trust int")
     got = {r.signal_id: (r.title_record, r.intervention_record) for r in truth.surviving_records(signals, evidence, trust).collect()}
     assert got == {"s": (2, 0), "none": (0, 0), "tie": (7, 7)}
+
+
+def test_reliability_is_learned_per_type_of_source(spark):
+    rng, signals, evidence = random.Random(5), [], []
+    for o in range(80):
+        for kind, right in (("Registry", 0.95), ("blog", 0.25), (" BLOG ", 0.25), ("journal", 0.9)):
+            n = len(signals) + 1
+            signals.append((n, f"s{o}", "true title" if rng.random() < right else f"wrong {rng.randrange(4)}", None, None))
+            evidence.append((n, kind))
+    signals = spark.createDataFrame(signals, "record_no long, signal_id string, signal_title string, intervention string, updated_at timestamp")
+    evidence = spark.createDataFrame(evidence, "record_no long, source_type string")
+    got = truth.summed_records(signals, evidence).collect()
+    assert len(got) == 80 and sum(r.value == "true title" for r in got) >= 72  # held out: the truth is in no input
+    assert truth.summed_records(signals.where("false"), evidence).count() == 0

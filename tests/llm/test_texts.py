@@ -66,6 +66,36 @@ def test_consistent_forms():
     assert form(None) is None and form("") == "" and len(form("а" * 200_000)) == 200_000
 
 
+def test_forms_are_linear_and_stable():
+    import time
+
+    began = time.perf_counter()
+    long = "the patients had a response " * 400 + "к"
+    assert visual.consistent_form(long)[0] == visual.consistent_form(long[:-1] + "к")[0] and len(visual.consistent_form(long)[0]) == len(long)
+    assert time.perf_counter() - began < 2
+    rng = random.Random(9)
+    letters = "abcopxyABCHKMeéñüßµ αβγσΣοΟΑΒабсеорухАВСЕНКМй Ϲϲſİıﬁ①²Ⅳ…´ ῾´-‑‐\u200b\u00ad0１.,\n"
+    for _ in range(400):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 40)))
+        form = visual.consistent_form(text)[0]
+        assert visual.consistent_form(form)[0] == form
+
+
+def test_latin_texts_are_their_own_form(monkeypatch):
+    import re
+
+    texts = ["", "plain text.", "Für die Größe: 5 µg", "Ça coûte 3 × 4 €", "cope scope Hex", "AB-12\nÉÀ"]
+    fast = [visual.consistent_form(t) for t in texts]
+    monkeypatch.setattr(visual, "_LATIN", re.compile("(?!)"))
+    assert fast == [visual.consistent_form(t) for t in texts]
+
+
+def test_look_classes(spark):
+    rows = [(1, "The dose", 0), (2, "Тhe dоsе", 0), (3, "The dose", 0), (3, "The dose", 0), (4, "the dose", 0), (5, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, look int")
+    assert sorted(r.documents for r in visual.look_classes(df).collect()) == [1, 2] and visual.look_classes(df.where("false")).count() == 0
+
+
 def test_look_alikes(spark):
     rows = [(1, "The dose", 0), (2, "Тhe dоsе", 0), (3, "The dose", 0), (4, "the dose", 0), (5, None, 0), (6, "", 0), (7, "", 0), (8, "The dose", 0), (8, "The dose", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, look int")
