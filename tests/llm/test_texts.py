@@ -133,6 +133,16 @@ def test_truncation_held_out_accuracy(spark):
     assert len(found & cut) >= 0.95 * len(cut) and len(found - cut) <= 0.03 * len(cut)
 
 
+def test_contexts_counted_in_passes_give_the_same_scores(spark, monkeypatch):
+    rows = [("news", i, "s", t if i % 7 else t[: len(t) * 2 // 3]) for i, t in enumerate(_corpus(random.Random(12), 300))]
+    df = spark.createDataFrame(rows, "table_name string, record_id long, source string, text string")
+    once = {r.record_id: (round(r.log_odds, 9), r.cut) for r in truncation.truncation_scores(df).collect()}
+    monkeypatch.setattr(truncation, "MOST_BITS", 1 << 13)
+    monkeypatch.setattr(truncation, "LEAST_BITS", 1 << 10)
+    assert truncation.filter_plan(300 * len(truncation.ORDERS))[1] == 4
+    assert {r.record_id: (round(r.log_odds, 9), r.cut) for r in truncation.truncation_scores(df).collect()} == once
+
+
 def test_truncation_of_nothing(spark):
     empty = spark.createDataFrame([], "table_name string, record_id long, source string, text string")
     scores = truncation.truncation_scores(empty)
