@@ -4,17 +4,27 @@ Patterns propose spans, checksums confirm or weaken them, and the words around a
 span move its score; a span of at least ``THRESHOLD`` counts.  Kinds are sought
 in a fixed order and each hides what it found from the next, so that a name
 inside a mail address is no name and a health number is no phone number.
+
+Given names come from a list and from the display names themselves: a word that
+stands before (or after, with a comma) many different family names, and oftener so
+than in their place, is a given name here, whether or not the list has it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 THRESHOLD = 0.5
+PARTNERS = 3  # different family names beside a learned given name
+NAME_BITS = 1 << 24  # the filter of learned names (2 MB), whatever the input; what passes by chance still needs its context
 KINDS = ("email", "id_number", "address", "phone", "name")
 
 # Common given names of several languages.
@@ -184,13 +194,13 @@ def _phones(text: str) -> list[tuple[int, int, float]]:
     return [x for x in out if x[2] >= THRESHOLD]
 
 
-def _names(text: str, display: bool, known: set[str]) -> list[tuple[int, int, float]]:
+def _names(text: str, display: bool, known: set[str], names: Container[str]) -> list[tuple[int, int, float]]:
     out = []
-    if not GIVEN_NAMES.isdisjoint(known):
+    if given := {w for w in known if w in names}:
         words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
         lowered = [w.lower() for _, _, w in words]
         for i, (start, end, word) in enumerate(words):
-            if lowered[i] not in GIVEN_NAMES or (start and text[start - 1] in "@_+") or text[end : end + 1] in ("@", "_") or re.match(r"[-+.]?\d", text[end : end + 2]):
+            if lowered[i] not in given or (start and text[start - 1] in "@_+") or text[end : end + 1] in ("@", "_") or re.match(r"[-+.]?\d", text[end : end + 2]):
                 continue
             first, last = start, end
             titled = word[0].isupper()
@@ -231,14 +241,71 @@ def _names(text: str, display: bool, known: set[str]) -> list[tuple[int, int, fl
     return [x for x in out if x[2] >= THRESHOLD]
 
 
-def spans(text: str | None, display: bool = False) -> list[tuple[int, int, str, float]]:
+class Names:
+    """The given names of the list and those in a filter of learned ones."""
+
+    def __init__(self, bits: bytes = b"", listed: set[str] | None = None):
+        self.listed = GIVEN_NAMES if listed is None else listed
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.learned = lru_cache(maxsize=1 << 17)(self._learned)
+
+    def _learned(self, word: str) -> bool:
+        return bool(len(self.bits)) and len(word) > 1 and all(self.bits[at >> 3] >> (at & 7) & 1 for at in _places(word))
+
+    def __contains__(self, word: object) -> bool:
+        return word in self.listed or self.learned(word)
+
+
+def _places(word: str) -> tuple[int, int]:
+    h = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return h % NAME_BITS, (h >> 32) % NAME_BITS
+
+
+def _set_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.array([p for w in batch.column(0).to_pylist() for p in _places(w)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 6, pa.int64()), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "one"])
+
+
+def given_names(comments: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """given: the words that are given names by their place in display names of two words.
+
+    Such a word has at least ``partners`` different words in the family name's
+    place beside it, and more than it has beside itself when it stands there.
+    Roles, honorifics and common first words are none.
+    """
+    shown = comments.select(F.lower("display_name").alias("shown")).distinct()
+    word, tail = r"[^\W\d_]{2,}(?:-[^\W\d_]+)?", r"(?:,?\s*(?:md|phd|mbbs|frcr|msc|bsc|rn|do|dphil|jr|sr)\b\.?)*\s*$"
+    plain, turned = rf"(?U)^\s*({word})\s+([^\W\d_]{{3,}}(?:[-'’][^\W\d_]+)?){tail}", rf"(?U)^\s*([^\W\d_]{{3,}}(?:[-'’][^\W\d_]+)?),\s+({word}){tail}"
+    took = lambda pattern, given, family: F.struct(F.regexp_extract("shown", pattern, given).alias("given"), F.regexp_extract("shown", pattern, family).alias("family"))
+    pairs = shown.select(F.when(F.col("shown").rlike(plain), took(plain, 1, 2)).when(F.col("shown").rlike(turned), took(turned, 2, 1)).alias("p")).where("p is not null").select("p.given", "p.family").distinct()
+    roles = F.lit("|".join(["", *sorted(_NOT_PERSON | _STARTERS | {"dr", "prof", "doctor", "professor", "miss", "herr", "frau", "madame", "monsieur", "sir", "dame"}), ""]))
+    pairs = pairs.where(~roles.contains(F.concat(F.lit("|"), "given", F.lit("|"))) & ~roles.contains(F.concat(F.lit("|"), "family", F.lit("|"))))
+    # a row for each place a word has, so that a name beside very many others is counted in parts
+    placed = pairs.select(F.col("given").alias("word"), F.lit(1).alias("first")).unionByName(pairs.select(F.col("family").alias("word"), F.lit(0).alias("first")))
+    counts = placed.groupBy("word").agg(F.sum("first").alias("as_given"), F.count("*").alias("all"))
+    return counts.where((F.col("as_given") >= partners) & (F.col("as_given") * 2 > F.col("all"))).select(F.col("word").alias("given"))
+
+
+def learned_filter(comments: DataFrame) -> bytes:
+    """The learned given names as a filter; at most NAME_BITS / 64 rows reach the driver."""
+    got = given_names(comments).mapInArrow(_set_places, "word long, one long").groupBy("word").agg(F.bit_or("one").alias("bits")).toArrow()
+    out = np.zeros(NAME_BITS // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.tobytes()
+
+
+_LISTED = Names()
+
+
+def spans(text: str | None, display: bool = False, names: Container[str] = _LISTED) -> list[tuple[int, int, str, float]]:
     """Disjoint (start, end, kind, score) spans in order of place; none in a null or empty text."""
     if not text:
         return []
     left, found, low = text, [], text.lower()
     words = set(_PLAIN_WORD.findall(low))
     for kind in KINDS:
-        hits = _emails(left) if kind == "email" else _ids(left, words) if kind == "id_number" else _addresses(left, words, low) if kind == "address" else _phones(left) if kind == "phone" else _names(left, display, words)
+        hits = _emails(left) if kind == "email" else _ids(left, words) if kind == "id_number" else _addresses(left, words, low) if kind == "address" else _phones(left) if kind == "phone" else _names(left, display, words, names)
         for start, end, score in sorted(hits, key=lambda x: (-x[2], x[0], -x[1])):
             if "\x00" not in left[start:end]:
                 found.append((start, end, kind, score))
@@ -246,9 +313,9 @@ def spans(text: str | None, display: bool = False) -> list[tuple[int, int, str,
     return sorted(found)
 
 
-def redact(text: str | None, display: bool = False) -> str | None:
+def redact(text: str | None, display: bool = False, names: Container[str] = _LISTED) -> str | None:
     """The text with each span replaced by its kind in brackets, otherwise unchanged; null stays null."""
-    found = spans(text, display)
+    found = spans(text, display, names)
     if not found:
         return text
     out, at = [], 0
@@ -258,36 +325,46 @@ def redact(text: str | None, display: bool = False) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, fields, kinds = [], [], []
-        for field, display in (("content", False), ("display_name", True)):
-            known: dict[str, list[str]] = {}
-            for key, text in zip(batch.column("comment_id").to_pylist(), batch.column(field).to_pylist()):
-                if not text:
-                    continue
-                if (mine := known.get(text)) is None:
-                    mine = known[text] = sorted({k for _, _, k, _ in spans(text, display)})
-                for kind in mine:
-                    ids.append(key)
-                    fields.append(field)
-                    kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(fields, pa.string()), pa.array(kinds, pa.string())], names=["comment_id", "field_name", "kind"])
+def _kinds(shared):  # noqa: ANN001, ANN202
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names(shared.value)
+        for batch in batches:
+            ids, fields, kinds = [], [], []
+            for field, display in (("content", False), ("display_name", True)):
+                known: dict[str, list[str]] = {}
+                for key, text in zip(batch.column("comment_id").to_pylist(), batch.column(field).to_pylist()):
+                    if not text:
+                        continue
+                    if (mine := known.get(text)) is None:
+                        mine = known[text] = sorted({k for _, _, k, _ in spans(text, display, names)})
+                    for kind in mine:
+                        ids.append(key)
+                        fields.append(field)
+                        kinds.append(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(fields, pa.string()), pa.array(kinds, pa.string())], names=["comment_id", "field_name", "kind"])
+
+    return give
 
 
 def personal_kinds(comments: DataFrame) -> DataFrame:
     """comment_id, field_name and kind, once for each kind that occurs in a field; repeated rows count once."""
-    return comments.select("comment_id", "content", "display_name").mapInArrow(_kinds, "comment_id string, field_name string, kind string").distinct()
+    shared = comments.sparkSession.sparkContext.broadcast(learned_filter(comments))
+    return comments.select("comment_id", "content", "display_name").mapInArrow(_kinds(shared), "comment_id string, field_name string, kind string").distinct()
 
 
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        content = pa.array([redact(t) for t in batch.column("content").to_pylist()], pa.string())
-        display = pa.array([redact(t, True) for t in batch.column("display_name").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("comment_id"), display, content], names=["comment_id", "display_name", "content"])
+def _redacted(shared):  # noqa: ANN001, ANN202
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names(shared.value)
+        for batch in batches:
+            content = pa.array([redact(t, False, names) for t in batch.column("content").to_pylist()], pa.string())
+            display = pa.array([redact(t, True, names) for t in batch.column("display_name").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("comment_id"), display, content], names=["comment_id", "display_name", "content"])
+
+    return give
 
 
 def redacted(comments: DataFrame) -> DataFrame:
     """Each distinct comment row with typed placeholders; nulls and empty texts stay."""
     rows = comments.select("comment_id", "display_name", "content")
-    return rows.mapInArrow(_redacted, "comment_id string, display_name string, content string").distinct()
+    shared = comments.sparkSession.sparkContext.broadcast(learned_filter(comments))
+    return rows.mapInArrow(_redacted(shared), "comment_id string, display_name string, content string").distinct()

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -56,6 +57,28 @@ def test_redaction_leaves_the_rest(spark):
     assert pii.personal_kinds(df.where("false")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_names_are_learned_where_the_list_has_gaps(spark):
+    comments = spark.read.parquet("/root/testdata/sf0.1/comments.parquet").select("comment_id", "content", "display_name")
+    learned, rng = pii.learned_filter(comments), random.Random(13)
+    half = pii.Names(learned, set(rng.sample(sorted(pii.GIVEN_NAMES), len(pii.GIVEN_NAMES) // 2)))
+    none = pii.Names(learned, set())
+    alone = pii.Names(b"", set())
+    texts = [(r.content, False) for r in comments.limit(3000).collect()] + [(r.display_name, True) for r in comments.limit(3000).collect()]
+    named = lambda names: [any(k == "name" for _, _, k, _ in pii.spans(t, d, names)) for t, d in texts]
+    whole, by_half, by_none, unlearned = named(pii.Names()), named(half), named(none), named(alone)
+    kept = lambda found: sum(a and b for a, b in zip(whole, found)) / sum(whole)
+    assert kept(by_half) >= 0.98 and kept(by_none) >= 0.95 > kept(unlearned)
+    assert sum(b and not a for a, b in zip(whole, by_none)) <= 0.01 * sum(whole)
+
+
+def test_given_names_by_place(spark):
+    shown = ["Ozra Quarlby", "Ozra Munt", "Ozra Velt, MD", "Team North", "Team South", "Team West", "Quarlby, Timo", "Munt, Timo", "Velt, Timo", "Velt Ozra", None, "", "ozra munt"]
+    df = spark.createDataFrame([("c", t, None) for t in shown], "comment_id string, display_name string, content string")
+    assert {r.given for r in pii.given_names(df).collect()} == {"ozra", "timo"}
+    assert pii.given_names(df.where("false")).count() == 0 and "ozra" in pii.Names(pii.learned_filter(df)) and "velt" not in pii.Names(pii.learned_filter(df))
+
+
 def test_consistent_forms():
     form = lambda t: visual.consistent_form(t)[0]
     assert form("Τhe Ѕаіnt‑Оrvance ｄａｉｌｙ ﬁne​ Ⅲ") == "The Saint-Orvance daily fine III"
