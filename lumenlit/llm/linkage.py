@@ -503,6 +503,24 @@ def isotonic(score: np.ndarray, label: np.ndarray, least: int = 1) -> tuple[list
     return [p[0] for p in pools], [(p[1] + 0.5) / (p[2] + 1.0) for p in pools]
 
 
+def _held() -> Column:
+    """The third of the pairs that the classifier is not fitted on."""
+    return F.pmod(F.xxhash64("left_id", "right_id"), F.lit(3)) == 0
+
+
+def calibration(matched: DataFrame) -> DataFrame:
+    """tenth, pairs, stated, observed: the calibrated probability of held-out pairs before their DOIs are looked at, and how many of their DOIs agree.
+
+    ``matched`` is the output of ``match_works``.  Pairs that a DOI alone may have
+    brought together (titles that say nothing or are unlike) are left out, as in
+    the fit; a share of DOIs is wrong, so agreement stays below certainty.
+    """
+    vague = sum(1 << FEATURES.index(k) for k in ("generic", "unlike"))
+    held = matched.where((F.col("doi_agrees") != 0) & _held() & (F.col("mask").bitwiseAND(F.lit(vague)) == 0))
+    tenths = held.groupBy(F.least(F.floor(F.col("level") * 10), F.lit(9)).cast("int").alias("tenth"))
+    return tenths.agg(F.count("*").alias("pairs"), F.round(F.avg("level"), 4).alias("stated"), F.round(F.avg((F.col("doi_agrees") > 0).cast("int")), 4).alias("observed"))
+
+
 def match_works(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id and confidence of every candidate pair, computed by the trained classifier.
 
@@ -523,7 +541,7 @@ def match_works(left: DataFrame, right: DataFrame) -> DataFrame:
     # a bounded sample: the labelled pairs with the least hash; those that only a DOI brought together are no evidence on titles
     labelled = featured.where("doi_agrees <> 0").withColumn("order", F.xxhash64("left_id", "right_id")).orderBy("order", "left_id", "right_id").limit(LABELLED_PAIRS)
     # equal masks are counted; there are at most 2 ** len(FEATURES) of them, and in practice some dozens
-    table = labelled.withColumn("held", F.pmod("order", F.lit(3)) == 0).groupBy("doi_agrees", "held", "mask").count().toArrow().to_pydict()
+    table = labelled.withColumn("held", _held()).groupBy("doi_agrees", "held", "mask").count().toArrow().to_pydict()
     weights, borders, levels = _train(_unpacked(table["mask"]), np.array(table["doi_agrees"]) > 0, np.array(table["count"], int), np.array(table["held"], bool))
     masks = np.array(featured.select("mask").distinct().toArrow().column("mask").to_pylist(), int)
     at = np.searchsorted(borders, np.round(weights[0] + _unpacked(masks) @ weights[1:], 6), side="right") - 1
@@ -534,7 +552,7 @@ def match_works(left: DataFrame, right: DataFrame) -> DataFrame:
     rivals = scored.where(vague).groupBy("left_id").agg(F.approx_count_distinct("same_title", 0.02).alias("rivals"))
     scored = scored.join(rivals, "left_id", "left")
     logit = F.log(F.col("level") / (1 - F.col("level"))) + F.when(F.col("doi_agrees") > 0, F.lit(DOI_SAME)).when(F.col("doi_agrees") < 0, F.lit(DOI_OTHER)).otherwise(F.lit(0.0)) - F.when(vague, F.log(F.greatest(F.coalesce("rivals", F.lit(1)), F.lit(1)).cast("double")) * 2).otherwise(F.lit(0.0))
-    return scored.select("left_id", "right_id", "mask", "doi_agrees", F.round(1 / (1 + F.exp(-logit)), 6).alias("confidence"))
+    return scored.select("left_id", "right_id", "mask", "doi_agrees", "level", F.round(1 / (1 + F.exp(-logit)), 6).alias("confidence"))
 
 
 _PRIOR = {"equal": 6.0, "slips": 5.0, "close": 3.0, "begins": 1.0, "generic": -1.0, "differs": -6.0, "unlike": -9.0, "trial_same": 1.0, "trial_other": -3.0, "registry_same": 1.0, "registry_other": -2.0, "venue_same": 1.5, "venue_other": -2.0, "year_same": 0.5, "year_near": 0.0, "year_far": -1.0, "alone": -2.0}
@@ -557,14 +575,19 @@ def _train(x: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray) -> tup
     return weights, borders, levels
 
 
+def compared_works(evidence: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``match_works`` of the two tables."""
+    year = F.expr("try_cast(regexp_extract(publication_date, '(19|20)[0-9][0-9]', 0) as int)")
+    left = comparable(evidence, "evidence_id", "title", "doi", "trial_name", "nct_id", "journal", year)
+    right = comparable(catalog, "catalog_id", "title", "doi", "trial_label", "nct_number", "venue", F.col("pub_year"))
+    return match_works(left, right)
+
+
 def works_of_evidence(evidence: DataFrame, catalog: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
     """evidence_id, catalog_id and confidence of the pairs that concern the same work.
 
     Null and placeholder attributes say nothing; repeated ids count once; a work
     listed twice is matched twice; empty tables give no rows.
     """
-    year = F.expr("try_cast(regexp_extract(publication_date, '(19|20)[0-9][0-9]', 0) as int)")
-    left = comparable(evidence, "evidence_id", "title", "doi", "trial_name", "nct_id", "journal", year)
-    right = comparable(catalog, "catalog_id", "title", "doi", "trial_label", "nct_number", "venue", F.col("pub_year"))
-    matched = match_works(left, right).where(F.col("confidence") >= least)
+    matched = compared_works(evidence, catalog).where(F.col("confidence") >= least)
     return matched.select(F.col("left_id").alias("evidence_id"), F.col("right_id").alias("catalog_id"), "confidence")

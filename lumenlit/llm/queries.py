@@ -53,10 +53,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_candidates(candidates, scores).select("site_code", "run_id", "place", "candidate_id")
 
 
-def matched_works(spark: SparkSession, folder: str) -> DataFrame:
+def _listings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     evidence = table(spark, folder, "evidence_sources", "evidence_id", "title", "doi", "trial_name", "nct_id", "journal", "publication_date")
     catalog = table(spark, folder, "source_catalog", "catalog_id", "title", "doi", "trial_label", "nct_number", "venue", "pub_year")
-    return linkage.works_of_evidence(evidence, catalog)
+    return evidence, catalog
+
+
+def matched_works(spark: SparkSession, folder: str) -> DataFrame:
+    return linkage.works_of_evidence(*_listings(spark, folder))
+
+
+def p7_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    return linkage.calibration(linkage.compared_works(*_listings(spark, folder)))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +108,7 @@ def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
     return visual.look_classes(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_truth": p3_truth, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_confidence": p7_confidence, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_truth": p3_truth, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_confidence": p7_confidence, "p7_calibration": p7_calibration, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes}
 
 SQL = {
     "p3_found": """

@@ -215,6 +215,54 @@ def test_candidates_reach_brute_force(spark, sf):
     assert exact and len(exact & found) >= 0.98 * len(exact)
 
 
+def _edits(a, b, most):
+    """Levenshtein distance, as far as it does not exceed ``most``."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the larger tables")
+def test_blocking_finds_misspelt_and_cut_titles(spark):
+    from lumenlit.llm.queries import _listings
+
+    evidence, catalog = _listings(spark, "/root/testdata/sf0.01")
+    year = F.expr("try_cast(regexp_extract(publication_date, '(19|20)[0-9][0-9]', 0) as int)")
+    left = linkage.comparable(evidence, "evidence_id", "title", "doi", "trial_name", "nct_id", "journal", year).cache()
+    right = linkage.comparable(catalog, "catalog_id", "title", "doi", "trial_label", "nct_number", "venue", F.col("pub_year")).cache()
+    left, right = linkage.with_short(left, right)
+    # brute force over all pairs of equal DOIs, which the search below is not shown
+    works = {}
+    for r in right.where("doi is not null and not generic").collect():
+        works.setdefault(r.doi, []).append(r)
+    whole, cut = set(), set()
+    for e in left.where("doi is not null and not generic").collect():
+        for w in works.get(e.doi, []):
+            if not e.short and not w.short and _edits(e.title, w.title, len(w.title) // 10) <= len(w.title) // 10:
+                whole.add((e.id, w.id))
+            elif e.short and len(e.title) < len(w.title) and _edits(e.title, w.title[: len(e.title)], len(e.title) // 10) <= len(e.title) // 10:
+                cut.add((e.id, w.id))
+    blind = lambda side: side.withColumn("doi", F.lit(None).cast("long"))
+    met = {(r.left_id, r.right_id) for r in linkage.candidates(blind(left), blind(right)).collect()}
+    assert len(whole) > 300 and len(cut) > 100
+    assert len(whole & met) >= 0.97 * len(whole) and len(cut & met) >= 0.85 * len(cut)  # measured: 0.985 and 0.894
+    assert len((whole | cut) & met) >= 0.95 * len(whole | cut)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_confidence_is_calibrated(spark):
+    from lumenlit.llm.queries import p7_calibration
+
+    rows = p7_calibration(spark, "/root/testdata/sf0.1").collect()
+    pairs = sum(r.pairs for r in rows)
+    assert pairs > 3000 and sum(r.pairs * abs(r.stated - r.observed) for r in rows) / pairs < 0.03
+
+
 def test_classifier_parts():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (4000, 2))
