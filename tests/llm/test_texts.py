@@ -166,6 +166,28 @@ def test_contexts_counted_in_passes_give_the_same_scores(spark, monkeypatch):
     assert {r.record_id: (round(r.log_odds, 9), r.cut) for r in truncation.truncation_scores(df).collect()} == once
 
 
+def test_passes_hold_one_filter_and_repeats_need_none(spark, monkeypatch):
+    rows = [("news", i + 300 * copy, "s", t) for copy in range(4) for i, t in enumerate(_corpus(random.Random(12), 300))]
+    df = spark.createDataFrame(rows, "table_name string, record_id long, source string, text string")
+    planned, held, most = [], set(), [0]
+    plan, share = truncation.filter_plan, spark.sparkContext.broadcast
+    monkeypatch.setattr(truncation, "filter_plan", lambda contexts: planned.append(contexts) or plan(contexts))
+
+    def broadcast(value):
+        shared = share(value)
+        destroy = shared.destroy
+        held.add(id(shared))
+        most[0] = max(most[0], len(held))
+        shared.destroy = lambda *a: (held.discard(id(shared)), destroy(*a))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(truncation, "MOST_BITS", 1 << 6)
+    monkeypatch.setattr(truncation, "LEAST_BITS", 1 << 6)
+    assert truncation.truncation_scores(df).count() == 1200
+    assert planned[0] <= 1.1 * 300 * len(truncation.ORDERS) and plan(planned[0])[1] > 1 and most == [1]
+
+
 def test_truncation_of_nothing(spark):
     empty = spark.createDataFrame([], "table_name string, record_id long, source string, text string")
     scores = truncation.truncation_scores(empty)
