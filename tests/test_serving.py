@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lumenlit.functions import calendar, text
-from lumenlit.operators import changes, feed
+from lumenlit.operators import changes, feed, ranking
+from lumenlit.plans import serving_queries, stream_queries
 from lumenlit.sources import records, sinks
 from lumenlit.streaming import events
 
@@ -132,3 +135,14 @@ def test_streams(spark, tmp_path):
     seen = []
     events.deliver_stream(stream, str(tmp_path / "cp2"), lambda batch, _: seen.append(batch.count()))
     assert sum(seen) == 3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_was_sent_is_a_condition_on_the_feed_and_not_a_second_feed(spark, sf):
+    rows = serving_queries.already_sent_anti(spark, sf)
+    assert "LeftAnti" not in _plan(rows)
+    whole = serving_queries.user_alert_feed(spark, sf).select("user_id", "alert_id")
+    assert sorted(map(tuple, rows.collect())) == sorted(tuple(r) for r in whole.collect() if (r.user_id + r.alert_id) % 3)
