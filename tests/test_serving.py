@@ -146,3 +146,26 @@ def test_what_was_sent_is_a_condition_on_the_feed_and_not_a_second_feed(spark, s
     assert "LeftAnti" not in _plan(rows)
     whole = serving_queries.user_alert_feed(spark, sf).select("user_id", "alert_id")
     assert sorted(map(tuple, rows.collect())) == sorted(tuple(r) for r in whole.collect() if (r.user_id + r.alert_id) % 3)
+
+
+def _feed_tables(spark):
+    rng = random.Random(5)
+    users = spark.createDataFrame([(u, f"u{u}@x") for u in range(40)] + [(3, "u3@x")], "user_id int, email string")
+    prefs = spark.createDataFrame([(u, rng.choice(["breast_oncology", "radiation_oncology", "custom", "none"]), rng.choice("ABC")) for u in range(0, 40, 2)], "user_id int, specialty string, min_tier string")
+    subs = spark.createDataFrame([(u, s, rng.random() < 0.8) for u in range(40) for s in (1, 2, 3) if rng.random() < 0.7], "user_id int, site_id int, is_active boolean")
+    sites = spark.createDataFrame([(1, "breast"), (2, "gu"), (3, "lung")], "site_id int, site_code string")
+    alerts = [(a, rng.randint(1, 3), rng.choice(["PUBLISHED", "PUBLISHED", "EXTRACTED"]), rng.choice("BCNA" if a % 5 == 0 else "BC"), rng.choice([None, "2024-01-01", "2024-01-02"]), rng.choice(["direct", "none", None])) for a in range(150)]
+    alerts = spark.createDataFrame([*alerts, alerts[0]], "alert_id int, site_id int, status string, tier string, at string, relevance string").withColumn("published_at", F.to_timestamp("at")).drop("at")
+    return users, prefs, subs, sites, alerts
+
+
+def _order():
+    return [F.col("tier"), F.col("published_at").desc_nulls_last(), F.col("alert_id")]
+
+
+def test_first_rows_by_channel_are_those_of_the_whole_feed(spark, sf):
+    *people, alerts = _feed_tables(spark)
+    whole = ranking.ranked(feed.user_alert_feed(*people, alerts), _order(), ["user_id"]).where("place <= 4")
+    best = feed.best_of_feed(feed.feed_readers(*people), alerts, _order(), 4)
+    rows = lambda df: sorted(map(tuple, df.select("user_id", "place", "alert_id").collect()))
+    assert rows(best) == rows(whole) and len(rows(best)) > 60
