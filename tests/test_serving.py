@@ -169,3 +169,12 @@ def test_first_rows_by_channel_are_those_of_the_whole_feed(spark, sf):
     best = feed.best_of_feed(feed.feed_readers(*people), alerts, _order(), 4)
     rows = lambda df: sorted(map(tuple, df.select("user_id", "place", "alert_id").collect()))
     assert rows(best) == rows(whole) and len(rows(best)) > 60
+
+
+def test_messages_by_channel_are_those_of_the_whole_feed(spark):
+    *people, alerts = _feed_tables(spark)
+    title = F.concat(F.lit("alert "), "alert_id")
+    whole = ranking.messages(feed.user_alert_feed(*people, alerts).withColumn("title", title), "user_id", "tier", _order()[1:])
+    by_channel = feed.feed_messages(feed.feed_readers(*people), alerts, title, _order()[1:])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(by_channel) == rows(whole) and any("updates" in r[2] for r in rows(whole))
