@@ -178,3 +178,12 @@ def test_messages_by_channel_are_those_of_the_whole_feed(spark):
     by_channel = feed.feed_messages(feed.feed_readers(*people), alerts, title, _order()[1:])
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(by_channel) == rows(whole) and any("updates" in r[2] for r in rows(whole))
+
+
+def test_feeds_worth_sending_are_known_before_they_are_made(spark):
+    *people, alerts = _feed_tables(spark)
+    unsent = F.expr("(user_id + alert_id) % 3 <> 0")
+    whole = feed.worth_sending(feed.user_alert_feed(*people, alerts).where(unsent))
+    got = feed.feed_worth_sending(feed.feed_readers(*people), alerts, unsent)
+    rows = lambda df: sorted(tuple(r) for r in df.select("user_id", "alert_id", "tier").collect())
+    assert rows(got) == rows(whole) and rows(got)
