@@ -187,3 +187,14 @@ def test_feeds_worth_sending_are_known_before_they_are_made(spark):
     got = feed.feed_worth_sending(feed.feed_readers(*people), alerts, unsent)
     rows = lambda df: sorted(tuple(r) for r in df.select("user_id", "alert_id", "tier").collect())
     assert rows(got) == rows(whole) and rows(got)
+
+
+def test_recipients_are_distinct_without_comparing_all_pairs(spark, sf):
+    users = spark.createDataFrame([(1, "a@x"), (2, "B@x"), (3, "c@x")], "user_id int, email string")
+    subs = spark.createDataFrame([(1, 1, True), (1, 2, True), (2, 1, True), (3, 2, True), (3, 1, False)], "user_id int, site_id int, is_active boolean")
+    accounts = spark.createDataFrame([(11, "A@x", True), (12, "a@x", True), (21, "b@x", True), (31, "c@x", True)], "account_id int, email string, notify boolean")
+    alerts = spark.createDataFrame([(1, 1), (2, 2), (2, 1)], "alert_id int, site_id int")
+    comments = spark.createDataFrame([(100, 1, 11), (100, 1, 11), (101, 1, 21), (102, 2, 31), (103, 1, None)], "comment_id int, alert_id int, author int")
+    got = [tuple(r) for r in feed.comment_recipients(comments, alerts, subs, users, accounts).collect()]
+    assert sorted(got) == [(100, "B@x"), (100, "a@x"), (101, "a@x"), (102, "B@x"), (102, "a@x")]
+    assert not _plan(serving_queries.comment_recipients(spark, sf)).startswith("Aggregate")
