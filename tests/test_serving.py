@@ -198,3 +198,10 @@ def test_recipients_are_distinct_without_comparing_all_pairs(spark, sf):
     got = [tuple(r) for r in feed.comment_recipients(comments, alerts, subs, users, accounts).collect()]
     assert sorted(got) == [(100, "B@x"), (100, "a@x"), (101, "a@x"), (102, "B@x"), (102, "a@x")]
     assert not _plan(serving_queries.comment_recipients(spark, sf)).startswith("Aggregate")
+
+
+def test_the_comment_stream_stores_comments_and_not_their_recipients(spark, sf, monkeypatch):
+    through, stored = stream_queries._through, []
+    monkeypatch.setattr(stream_queries, "_through", lambda spark, stream: stored.append(through(spark, stream)) or stored[-1])
+    rows = stream_queries.comment_notify_stream(spark, sf)
+    assert rows.count() > 5 * stored[0].count() > 0
