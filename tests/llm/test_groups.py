@@ -127,3 +127,11 @@ def test_reliability_is_learned_per_type_of_source(spark):
     got = truth.summed_records(signals, evidence).collect()
     assert len(got) == 80 and sum(r.value == "true title" for r in got) >= 72  # held out: the truth is in no input
     assert truth.summed_records(signals.where("false"), evidence).count() == 0
+
+
+def test_surviving_records_estimate_nothing_that_their_order_ignores(spark, monkeypatch):
+    signals = spark.createDataFrame([(1, "a", "t1", "i", 1), (2, "a", "t2", "-", 2), (3, "a", "", "j", 2)], "record_no int, signal_id string, signal_title string, intervention string, at int").withColumn("updated_at", F.timestamp_seconds("at")).drop("at")
+    evidence = spark.createDataFrame([(1, "x"), (3, " X")], "record_no int, source_type string")
+    trust = spark.createDataFrame([("X", 5)], "source_type string, trust int")
+    monkeypatch.setattr(truth, "discover_truth", None)
+    assert [tuple(r) for r in truth.surviving_records(signals, evidence, trust).collect()] == [("a", 1, 3)]
