@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,15 +119,65 @@ def suppress(rows: DataFrame, prior: DataFrame, name: str, exempt: Column) -> Da
     return checked.unionByName(rows.where(~guarded))
 
 
+MOST_SUBSETS = 500  # of one set for one size of partner; beyond it the pairs themselves are compared
+
+
+def least_common(a: int, b: int, threshold: float) -> int:
+    """The least number of common elements with which sets of these sizes reach the Jaccard threshold; at least 1."""
+    return next((c for c in range(1, min(a, b) + 1) if c >= threshold * (a + b - c)), min(a, b) + 1)
+
+
+def _by_subsets(a: int, b: int, threshold: float) -> bool:
+    need = least_common(a, b, threshold)
+    return max(math.comb(a, need), math.comb(b, need)) <= MOST_SUBSETS
+
+
+def _subset_keys(partners: list[int], threshold: float, asked: bool):  # noqa: ANN202
+    """A function of a column of sets: the subsets in which a set may meet one of a partner's sizes, with both sizes."""
+
+    @F.pandas_udf("array<string>")
+    def keys(sets: pd.Series) -> pd.Series:
+        out = []
+        for words in sets:
+            found, n = [], len(words)
+            for m in partners:
+                a, b = (n, m) if asked else (m, n)
+                need = least_common(a, b, threshold)
+                if need <= min(a, b) and _by_subsets(a, b, threshold):
+                    found += [f"{a} {b} " + "\x1f".join(some) for some in combinations(words, need)]
+            out.append(found)
+        return pd.Series(out)
+
+    return keys
+
+
 def title_gaps(wanted: DataFrame, present: DataFrame, key: str, tokens: str, threshold: float = 0.35) -> DataFrame:
     """The wanted rows that no present title resembles by its set of words.
 
-    Exact: of two sets that reach the threshold, the rarest words of each (all but
-    the commonest ``threshold`` of them) have one in common, so an inverted index
-    on these reaches every pair that counts.  Equal sets are compared once.
+    Exact: sets of given sizes reach the threshold if and only if they have a
+    certain number of words in common, that is if they share a subset of that
+    size.  So sizes and subset are the key of a semi-join, and no pair is
+    compared.  Where a set has too many such subsets, pairs
+    that share one of the rarest words of each (all but the commonest
+    ``threshold`` of them) are compared.
     """
+    spark = wanted.sparkSession
     side = lambda df: df.select(F.array_sort(tokens).alias("set")).where("size(set) > 0").distinct()
     asked, offered = side(wanted), side(present)
+    sizes_of = lambda df: sorted(r.n for r in df.select(F.size("set").alias("n")).distinct().collect())  # noqa: E731  a row for each size of a title
+    asked_sizes, offered_sizes = sizes_of(asked), sizes_of(offered)
+    keyed = asked.select(F.col("set").alias("a"), F.explode(_subset_keys(offered_sizes, threshold, True)("set")).alias("key"))
+    near = keyed.join(offered.select(F.explode(_subset_keys(asked_sizes, threshold, False)("set")).alias("key")).distinct(), "key", "left_semi").select("a")
+    many = [(a, b) for a in asked_sizes for b in offered_sizes if least_common(a, b, threshold) <= min(a, b) and not _by_subsets(a, b, threshold)]
+    if many:
+        near = near.unionByName(_near_by_pairs(asked, offered, spark.createDataFrame(many, "na int, nb int"), threshold))
+    return wanted.withColumn("a", F.array_sort(tokens)).join(near.distinct(), "a", "left_anti").drop("a")
+
+
+def _near_by_pairs(asked: DataFrame, offered: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """a: the asked sets that reach the threshold with an offered set, where both sizes are a row of ``sizes``."""
+    asked = asked.join(F.broadcast(sizes.select("na").distinct()), F.size("set") == F.col("na"), "left_semi")
+    offered = offered.join(F.broadcast(sizes.select("nb").distinct()), F.size("set") == F.col("nb"), "left_semi")
     frequency = asked.unionByName(offered).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("often"))
 
     def indexed(sets: DataFrame, name: str) -> DataFrame:
@@ -133,9 +187,8 @@ def title_gaps(wanted: DataFrame, present: DataFrame, key: str, tokens: str, thr
         return rarest.select(name, F.explode(F.transform(F.slice("ranked", F.lit(1), most), lambda r: r["token"])).alias("token"))
 
     # few bytes but many pairs: a fixed number of partitions keeps the work spread
-    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = indexed(asked, "a").repartition(parts, "a").join(indexed(offered, "b"), "token")
-    sizes = (F.size("b") >= F.size("a") * threshold) & (F.size("a") >= F.size("b") * threshold)
+    near_sizes = (F.size("b") >= F.size("a") * threshold) & (F.size("a") >= F.size("b") * threshold)
     common = F.size(F.array_intersect("a", "b"))
-    near = pairs.where(sizes).where(common >= threshold * (F.size("a") + F.size("b") - common)).select("a").distinct()
-    return wanted.withColumn("a", F.array_sort(tokens)).join(near, "a", "left_anti").drop("a")
+    return pairs.where(near_sizes).where(common >= threshold * (F.size("a") + F.size("b") - common)).select("a").distinct()

@@ -84,6 +84,20 @@ def test_title_gaps(spark):
     assert {r.id for r in dedupe.title_gaps(a, b, "id", "tokens").collect()} == {2, 3}
 
 
+@pytest.mark.parametrize("most", [500, 3, 0])
+def test_title_gaps_equal_brute_force_by_subsets_and_by_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(dedupe, "MOST_SUBSETS", most)
+    rng, words = random.Random(3), [f"w{i}" for i in range(24)]
+    draw = lambda n: [(i, rng.sample(words, rng.randint(0, 8))) for i in range(n)]
+    wanted, present = draw(80), draw(25)
+    near = lambda a, b: a and b and len(a & b) >= 0.35 * len(a | b)
+    want = {i for i, a in wanted if not any(near(set(a), set(b)) for _, b in present)}
+    a, b = (spark.createDataFrame(rows, "id int, tokens array<string>") for rows in (wanted, present))
+    gaps = dedupe.title_gaps(a, b, "id", "tokens")
+    assert {r.id for r in gaps.collect()} == want and 0 < len(want) < 80
+    assert ("array_intersect" in gaps._jdf.queryExecution().optimizedPlan().toString()) == (most < 500)
+
+
 @pytest.mark.parametrize("cap, want", [(0, {0, 1, 2, 3, 4, 5, 6}), (1, {0, 1}), (4, {0, 1, 3, 4}), (6, {0, 1, 2, 3, 4, 5}), (50, {0, 1, 2, 3, 4, 5, 6})])
 def test_caps(spark, cap, want):
     rows = [(0, "A", 1.0, "x"), (1, "A", 9.0, "x"), (2, "B", 5.0, "x"), (3, "B", 7.0, "x"), (4, "B", 7.0, "x"), (5, "C", 99.0, "x"), (6, "C", None, "x")]
