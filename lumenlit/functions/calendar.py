@@ -29,11 +29,6 @@ def in_publication_window(value: Column, end: str, days: int = 14) -> Column:
     return F.coalesce(lenient_date(value).between(F.date_sub(last, days), last), F.lit(True))
 
 
-def within_days(a: Column, b: Column, days: int) -> Column:
-    """Whether two written dates are at most so many days apart; an unknown date is near every other."""
-    return F.coalesce(F.abs(F.datediff(strict_date(a), strict_date(b))) <= days, F.lit(True))
-
-
 def seen_since(moment: Column, as_of: str, days: int) -> Column:
     return moment >= F.expr(f"timestamp'{as_of}' - interval {days} days")
 

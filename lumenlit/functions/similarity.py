@@ -1,64 +1,221 @@
-"""Sequence similarity of short texts, and the pairs that reach a threshold."""
+"""Sequence similarity of short texts, and the texts or pairs that reach a threshold."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lumenlit.functions.calendar import strict_date
 from lumenlit.functions.text import collapsed
 
-BANDS = 16
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(new: pd.Series, kept: pd.Series, least: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters; the order of the arguments matters. Empty texts are like nothing, and what an upper bound shows to miss ``least`` counts as 0."""
-    out, matcher = [], SequenceMatcher(None)
-    for a, b, bound in zip(new, kept, least):
-        if not a or not b:
-            out.append(0.0)
-            continue
-        matcher.set_seqs(a, b)
-        out.append(matcher.ratio() if matcher.quick_ratio() >= bound else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def band_keys(texts: pd.Series) -> pd.Series:
-    """MinHash keys of texts: per band, two least hashes of their pieces of four characters."""
-    seeds = np.random.default_rng(7).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = []
-    for text in texts:
-        codes = np.frombuffer((text + "   " if len(text) < 4 else text).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        pieces = np.zeros(len(codes) - 3, np.uint64)
-        for j in range(4):
-            pieces = pieces * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(pieces)]
-        pieces = np.unique((pieces ^ (pieces >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
-        least = (pieces[:, None] * seeds).min(axis=0).reshape(BANDS, 2)
-        keys = (least[:, 0] ^ (least[:, 1] >> np.uint64(1))) * np.uint64(0x94D049BB133111EB) + np.arange(BANDS, dtype=np.uint64)
-        out.append(np.unique(keys.astype(np.int64)).tolist())
-    return pd.Series(out)
+UNKNOWN = -(10**9)  # the day of an unknown date
+SLACK = 1e-6  # what rounding may take from a bound
+SHAPE = "k long, t string, day int"
+SLICE_ROWS, SLICE_CHARACTERS = 16_000, 8_000_000  # of the texts that a task holds at once
+
+_COMMON = " etaoinsrl"
+_LETTERS = "hdcumfpgwybvkxjqz0123456789.,-" + _COMMON
+_OTHERS = 16
+_MOST = [(24 if c in "hdcumfpg" else 64 if c in _COMMON else 8) for c in _LETTERS] + [8] * _OTHERS
+_COLUMN = np.repeat(np.arange(len(_MOST)), _MOST)
+_LEVEL = np.concatenate([np.arange(m) for m in _MOST])
+WORDS = -(-len(_COLUMN) // 64)
+_PLACE = np.full(128, -1)
+_PLACE[[ord(c) for c in _LETTERS]] = range(len(_LETTERS))
+
+
+def signatures(texts: list[str]) -> np.ndarray:
+    """Bits (words x texts): for each letter and number whether the text has more than that many of it, so differing bits are never more than letters to insert or delete."""
+    out = np.zeros((WORDS, len(texts)), np.uint64)
+    for begin in range(0, len(texts), 2048):
+        some = texts[begin : begin + 2048]
+        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        place = np.where(codes < 128, _PLACE[np.minimum(codes, 127)], -1)
+        place = np.where(place < 0, len(_LETTERS) + codes % _OTHERS, place)
+        owner = np.repeat(np.arange(len(some)), [len(t) for t in some])
+        counts = np.bincount(owner * len(_MOST) + place, minlength=len(some) * len(_MOST)).reshape(len(some), -1)
+        bits = np.zeros((len(some), WORDS * 64), bool)
+        bits[:, : len(_COLUMN)] = counts[:, _COLUMN] > _LEVEL
+        out[:, begin : begin + len(some)] = np.packbits(bits, axis=1).view(np.uint64).T
+    return out
+
+
+class Likeness:
+    """Texts among which those are found that a new text resembles: exactly the ones whose ratio reaches the threshold.
+
+    Twice the common characters over all characters is at least the threshold only
+    if few characters are to be inserted or deleted.  Lengths, then counts of
+    letters, then the longest common subsequence bound their number from below;
+    what passes all three is compared.  No bound loses a pair.
+    """
+
+    def __init__(self, texts: list[str], threshold: float, days: list[int] | None = None, most_days: int | None = None):
+        self.order = np.argsort([len(t) for t in texts], kind="stable")
+        self.texts = [texts[i] for i in self.order]
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.bits = signatures(self.texts)
+        self.threshold, self.most_days = threshold, most_days
+        self.days = None if most_days is None else np.array(days, np.int64)[self.order]
+
+    def like(self, text: str, bits: np.ndarray, day: int = UNKNOWN, among: np.ndarray | None = None) -> Iterator[tuple[int, float]]:
+        """(place, ratio) of the like texts, the likest letters first; ``among`` (in the order of ``lengths``) may exclude some. ``bits`` is the new text's signature."""
+        size, t = len(text), self.threshold
+        low = np.searchsorted(self.lengths, math.ceil(size * t / (2 - t) - SLACK))
+        high = np.searchsorted(self.lengths, math.floor(size * (2 - t) / t + SLACK), "right")
+        most = (1 - t) * (size + self.lengths[low:high]) + SLACK
+        apart = np.bitwise_count(self.bits[0, low:high] ^ bits[0])
+        apart += np.bitwise_count(self.bits[1, low:high] ^ bits[1])
+        passed = apart <= np.minimum(most, 255).astype(np.uint8)
+        if among is not None:
+            passed &= among[low:high]
+        if self.days is not None and day != UNKNOWN:
+            days = self.days[low:high]
+            passed &= (days == UNKNOWN) | (np.abs(days - day) <= self.most_days)
+        some = np.flatnonzero(passed)
+        apart = apart[some].astype(np.int64)
+        for word in range(2, WORDS):
+            apart += np.bitwise_count(self.bits[word, low + some] ^ bits[word])
+            if word % 2:
+                left = apart <= most[some]
+                some, apart = some[left], apart[left]
+        left = apart <= most[some]
+        some, apart = some[left], apart[left]
+        if not len(some):
+            return
+        places: dict[str, int] = {}
+        for i, c in enumerate(text):
+            places[c] = places.get(c, 0) | 1 << i
+        for at in low + some[np.argsort(apart, kind="stable")]:
+            other = self.texts[at]
+            if other == text:
+                yield int(self.order[at]), 1.0
+            elif reaches(places, size, other, math.ceil(t * (size + len(other)) / 2 - SLACK)):
+                ratio = SequenceMatcher(None, text, other).ratio()
+                if ratio >= t:
+                    yield int(self.order[at]), ratio
+
+
+def reaches(places: dict[str, int], size: int, other: str, least: int) -> bool:
+    """Whether the longest common subsequence of a text of this size, given the bits where each character stands in it, and another text has so many characters.
+
+    The unset bits of ``unmet`` below i count what the text's first i characters
+    have in common with the other's so far.  The first ones of the other text can
+    meet no later character than deletions allow, so most fail early.
+    """
+    deletions, insertions = size - least, len(other) - least
+    unmet = (1 << size) - 1
+    for begin in range(0, len(other), 16):
+        for place in map(places.get, other[begin : begin + 16], repeat(0)):
+            met = unmet & place
+            unmet = (unmet + met) | (unmet - met)
+        end = min(begin + 16, len(other))
+        within = min(end + deletions, size)
+        if end - within + (unmet & (1 << within) - 1).bit_count() > insertions:
+            return False
+    return True
+
+
+def shaped(rows: DataFrame, key: str, text: str, date: str | None = None) -> DataFrame:
+    """k, the text in lower case with single blanks (t) and its day, for the rows that have a text."""
+    day = F.lit(UNKNOWN) if date is None else F.coalesce(F.datediff(strict_date(F.col(date)), F.lit("1970-01-01").cast("date")), F.lit(UNKNOWN))
+    return rows.where(has_text(text)).select(F.col(key).cast("long").alias("k"), collapsed(F.col(text)).alias("t"), day.alias("day"))
+
+
+def has_text(text: str) -> Column:
+    return collapsed(F.coalesce(F.col(text), F.lit(""))) != ""
+
+
+def slices(rows: DataFrame, first: int = SLICE_ROWS) -> list[tuple[int | None, int | None]]:
+    """Bounds (above, up to) of k that part shaped rows, each part small enough for one task, the parts growing from ``first`` rows."""
+    n, characters = rows.agg(F.count("*"), F.sum(F.length("t"))).first()
+    most = max(1, min(SLICE_ROWS, n * SLICE_CHARACTERS // max(characters or 0, 1)))
+    ends, size = [min(first, most)], min(first, most)
+    while ends[-1] < n:
+        size = min(2 * size, most)
+        ends.append(ends[-1] + size)
+    inner = [e / n for e in ends[:-1]]
+    bounds = sorted(set(rows.agg(F.percentile_approx("k", inner, 100_000)).first()[0])) if inner else []
+    return list(zip([None, *bounds], [*bounds, None]))
+
+
+def between(rows: DataFrame, above: int | None, upto: int | None) -> DataFrame:
+    rows = rows if above is None else rows.where(F.col("k") > above)
+    return rows if upto is None else rows.where(F.col("k") <= upto)
+
+
+def _signed(frame: pd.DataFrame) -> Iterator[tuple[int, str, int, np.ndarray]]:
+    bits = signatures(texts := frame["t"].tolist())
+    return zip(frame["k"].tolist(), texts, frame["day"].tolist(), bits.T)
+
+
+class Known:
+    """Shaped rows that all tasks hold: bounded, a slice at most."""
+
+    def __init__(self, rows: DataFrame):
+        held = rows.toArrow()
+        self.shared = rows.sparkSession.sparkContext.broadcast([held[c].to_pylist() for c in ("k", "t", "day")])
+
+    def without_copies(self, rows: DataFrame, threshold: float, days: int | None) -> DataFrame:
+        """The shaped rows that are a copy of none of these."""
+        shared = self.shared
+
+        def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            _, texts, dates = shared.value
+            index = Likeness(texts, threshold, dates, days)
+            for frame in frames:
+                yield frame[[next(index.like(text, bits, day), None) is None for _, text, day, bits in _signed(frame)]]
+
+        return rows.mapInPandas(kept, SHAPE)
+
+    def pairs(self, rows: DataFrame, threshold: float, earlier: bool) -> DataFrame:
+        """(first, second, ratio) of these and like rows; with ``earlier`` only where first < second."""
+        shared = self.shared
+
+        def paired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            keys, texts, _ = shared.value
+            index, keys = Likeness(texts, threshold), np.array(keys, np.int64)
+            for frame in frames:
+                found = [(int(keys[at]), k, ratio) for k, text, _, bits in _signed(frame) for at, ratio in index.like(text, bits, among=keys[index.order] < k if earlier else None)]
+                yield pd.DataFrame(found, columns=["first", "second", "ratio"])
+
+        return rows.mapInPandas(paired, "first long, second long, ratio double")
+
+
+def first_copies(rows: DataFrame, threshold: float, days: int | None) -> DataFrame:
+    """The shaped rows of one slice that a pass in ascending order keeps: each unless it is a copy of one already kept."""
+
+    def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not (whole := list(frames)):
+            return
+        frame = pd.concat(whole).sort_values("k", kind="stable")
+        index = Likeness(frame["t"].tolist(), threshold, frame["day"].tolist(), days)
+        place = np.argsort(index.order)
+        taken = np.zeros(len(frame), bool)
+        for i, (_, text, day, bits) in enumerate(_signed(frame)):
+            taken[place[i]] = next(index.like(text, bits, day, among=taken), None) is None
+        yield frame[taken[place]]
+
+    return rows.repartition(1).mapInPandas(kept, SHAPE)
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float, others: DataFrame | None = None) -> DataFrame:
-    """(first, second, ratio) of pairs whose texts reach the threshold.
+    """(first, second, ratio) of all pairs whose texts reach the threshold.
 
     Without ``others`` a self-join with first < second; with it, ``second`` comes
     from there.  The ratio is taken as (second's text, first's text), so the later
-    of two rows is the new one.  Candidates share a MinHash band and pass the
-    exact bound on the ratio that their lengths give.
+    of two rows is the new one.
     """
-    prepared = lambda df: df.select(F.col(key).alias("k"), collapsed(F.coalesce(F.col(text), F.lit(""))).alias("t")).where("t <> ''")
-    one = prepared(rows)
-    two = prepared(others) if others is not None else one
-    keyed = lambda df, a, b: df.select(F.col("k").alias(a), F.explode(band_keys(F.col("t"))).alias("band"), F.length("t").alias(b))
-    bound = 2 * F.least("la", "lb") / (F.col("la") + F.col("lb")) >= threshold
-    pairs = keyed(one, "first", "la").join(keyed(two, "second", "lb"), "band").where(bound)
-    pairs = (pairs if others is not None else pairs.where("first < second")).select("first", "second").distinct()
-    joined = pairs.join(one.select(F.col("k").alias("first"), F.col("t").alias("ta")), "first").join(two.select(F.col("k").alias("second"), F.col("t").alias("tb")), "second")
-    return joined.withColumn("ratio", F.when(F.col("ta") == F.col("tb"), F.lit(1.0)).otherwise(sequence_ratio("tb", "ta", F.lit(threshold)))).where(F.col("ratio") >= threshold).select("first", "second", "ratio")
+    one = shaped(rows, key, text)
+    two = shaped(others, key, text) if others is not None else one
+    parts = [Known(between(one, *bounds)).pairs(two, threshold, others is None) for bounds in slices(one)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

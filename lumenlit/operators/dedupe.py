@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -11,9 +12,8 @@ from pyspark.sql import functions as F
 
 from lumenlit.conf import vocabulary as V
 from lumenlit.functions import rules
-from lumenlit.functions.calendar import within_days
 from lumenlit.functions.columns import unused
-from lumenlit.functions.similarity import similar_pairs
+from lumenlit.functions.similarity import Known, between, first_copies, has_text, shaped, similar_pairs, slices
 from lumenlit.functions.text import collapsed
 from lumenlit.scratch import Scratch
 
@@ -69,6 +69,40 @@ def independent_set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"not settled after {MAX_ROUNDS} rounds")
 
 
+FIRST_ROWS = 2000  # of the first slice: copies are frequent there, and later slices lose theirs to it
+
+
+def without_copies(rows: DataFrame, threshold: float, days: int | None = None) -> DataFrame:
+    """k of the rows (as ``similarity.shaped``) that a greedy pass in ascending order keeps: each unless it is a copy of one already kept.
+
+    The pass goes by slices.  One task keeps the first copies of a slice, and all
+    tasks drop from the later rows what is a copy of these, so the pairs of texts
+    that are both copies of an earlier one are never compared.
+    """
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "copies")
+    left = scratch.cut(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "left-0")
+    kept = []
+    for number, (_, upto) in enumerate(slices(left, FIRST_ROWS)):
+        kept.append(scratch.cut(first_copies(between(left, None, upto), threshold, days), f"kept-{number}"))
+        if upto is not None:
+            left = _dropped(scratch, kept[-1], between(left, upto, None), threshold, days, f"left-{number + 1}")
+        scratch.drop(f"left-{number}")
+    return reduce(DataFrame.unionByName, kept).select("k")
+
+
+def _dropped(scratch: Scratch, known: DataFrame, rows: DataFrame, threshold: float, days: int | None, name: str) -> DataFrame:
+    held = Known(known)
+    left = scratch.cut(held.without_copies(rows, threshold, days), name)
+    held.shared.destroy()
+    return left
+
+
+def _with_kept(rows: DataFrame, order: str, title: str, kept: DataFrame) -> DataFrame:
+    """Rows without a title, and those kept."""
+    return rows.where(~has_text(title)).unionByName(rows.where(has_text(title)).join(kept.withColumnRenamed("k", order), order, "left_semi"))
+
+
 def fuzzy_dedupe(records: DataFrame, order: str, title: str = "title", date: str = "pub_date", threshold: float = 0.92, days: int = 7) -> DataFrame:
     """Records without the near copies of better ones.
 
@@ -76,11 +110,7 @@ def fuzzy_dedupe(records: DataFrame, order: str, title: str = "title", date: str
     if their titles reach the ratio and their dates lie within the days (unknown
     dates do).  Records without a title are kept.
     """
-    numbered = records.select(F.col(order).alias("k"), F.col(title).alias("t"), F.col(date).alias("d"))
-    pairs = similar_pairs(numbered, "k", "t", threshold)
-    dated = pairs.join(numbered.select(F.col("k").alias("first"), F.col("d").alias("da")), "first").join(numbered.select(F.col("k").alias("second"), F.col("d").alias("db")), "second")
-    kept = independent_set(numbered.select(F.col("k").alias("node")), dated.where(within_days(F.col("da"), F.col("db"), days)))
-    return records.join(kept.withColumnRenamed("node", order), order, "left_semi")
+    return _with_kept(records, order, title, without_copies(shaped(records, order, title, date), threshold, days))
 
 
 def trial_dedupe(rows: DataFrame, name: str, title: str, order: str, threshold: float = 0.88) -> DataFrame:

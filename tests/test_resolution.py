@@ -4,7 +4,8 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlit.functions.similarity import similar_pairs
+from lumenlit.functions import similarity
+from lumenlit.functions.similarity import Likeness, signatures, similar_pairs
 from lumenlit.operators import cluster, dedupe, ranking
 
 RECORDS = "id int, pmid string, doi string, quality int, title string, pub_date string"
@@ -58,6 +59,57 @@ def test_similar_pairs_reach_brute_force(spark, sf):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def _edited(rng, base, most):
+    """Copies of the texts with single letters changed, lost or added far apart from each other, which leaves few pieces of four whole."""
+    out = []
+    for text in base:
+        for edits in range(most + 1):
+            t = list(text)
+            for at in range(edits):
+                t[3 + 5 * at : 4 + 5 * at] = rng.choice([["ж"], [], ["x", "é"]])
+            out.append("".join(t))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.85, 0.92])
+def test_likeness_loses_no_pair(threshold):
+    rng = random.Random(5)
+    texts = _edited(rng, ["".join(rng.choice("abcdefghij klmno") for _ in range(n)) for n in (1, 2, 9, 24, 24, 40, 70, 199, 260, 400)], 6)
+    index = Likeness(texts, threshold)
+    for text, bits in zip(texts, signatures(texts).T):
+        got = dict(index.like(text, bits))
+        ratios = [1.0 if text == t else SequenceMatcher(None, text, t).ratio() for t in texts]
+        assert got == {i: r for i, r in enumerate(ratios) if r >= threshold and text}
+
+
+def test_similar_pairs_of_scattered_edits(spark):
+    rng = random.Random(4)
+    texts = [" ".join(t.split()) for t in _edited(rng, ["".join(rng.choice("abcdefghijklmno") for _ in range(24)) for _ in range(20)], 3)]
+    got = {(r.first, r.second) for r in similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id int, title string"), "id", "title", 0.85).collect()}
+    assert got == {(i, j) for j in range(len(texts)) for i in range(j) if SequenceMatcher(None, texts[j], texts[i]).ratio() >= 0.85}
+
+
+def test_fuzzy_dedupe_by_slices_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "FIRST_ROWS", 30)
+    monkeypatch.setattr(similarity, "SLICE_ROWS", 60)
+    rng = random.Random(8)
+    rows = [(i, f"dosing of {rng.choice(['ab', 'xylo', 'quin'])} at {rng.randint(1, 999)} mg every {rng.randint(1, 9)} weeks was feasible", rng.choice([None, "2024-01-01", "2024-01-09", "2024-01-20"])) for i in range(300)] + [(300, None, None), (301, " ", "2024-01-01")]
+    df = spark.createDataFrame(rows, "id int, title string, pub_date string")
+    got = {r.id for r in dedupe.fuzzy_dedupe(df.repartition(3), "id").collect()}
+    assert got == _greedy([(i, t or "", d or "") for i, t, d in rows], 0.92, 7) and {300, 301} <= got and len(got) < 200
+
+
+def test_fuzzy_dedupe_compares_few_pairs_of_one_template(monkeypatch):
+    """A greedy pass over n copies needs about n comparisons, not one for each of their pairs."""
+    calls = []
+    monkeypatch.setattr(similarity, "SequenceMatcher", lambda *args: calls.append(1) or SequenceMatcher(*args))
+    texts = [f"dosing at {i % 90 + 10} mg/kg every {i % 7} weeks was feasible, unexpectedly, in most of the patients" for i in range(600)]
+    first, n = Likeness(texts[:1], 0.92), 0
+    for text, bits in zip(texts, signatures(texts).T):
+        n += next(first.like(text, bits), None) is not None
+    assert n == 600 and len(calls) <= 600
+
+
 def test_trial_dedupe(spark):
     rows = [(1, "LAURA", "Title one of the laura trial"), (2, " laura ", "Another"), (3, None, "Title one of the laura trial."), (4, "", "Something else entirely here"), (5, None, "Something else entirely here!"), (6, None, "")]
     df = spark.createDataFrame(rows, "id int, name string, title string")
