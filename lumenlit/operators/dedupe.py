@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumenlit.conf import vocabulary as V
 from lumenlit.functions import rules
 from lumenlit.functions.columns import unused
-from lumenlit.functions.similarity import Known, between, first_copies, has_text, shaped, similar_pairs, slices
+from lumenlit.functions.similarity import Known, between, first_copies, has_text, shaped, slices
 from lumenlit.functions.text import collapsed
 from lumenlit.scratch import Scratch
 
@@ -118,11 +118,15 @@ def trial_dedupe(rows: DataFrame, name: str, title: str, order: str, threshold:
     key = F.nullif(F.lower(F.trim(F.col(name))), F.lit(""))
     named = best_per_key(rows.where(key.isNotNull()), [key], [F.col(order)])
     unnamed = rows.where(key.isNull())
-    shape = lambda df: df.select(F.col(order).alias("k"), F.col(title).alias("t"))
-    shadowed = similar_pairs(shape(named), "k", "t", threshold, others=shape(unnamed)).select(F.col("second").alias(order)).distinct()
-    rest = unnamed.join(shadowed, order, "left_anti")
-    kept = independent_set(shape(rest).select(F.col("k").alias("node")), similar_pairs(shape(rest), "k", "t", threshold))
-    return named.unionByName(rest.join(kept.withColumnRenamed("node", order), order, "left_semi"))
+    scratch = Scratch(rows.sparkSession, "trials")
+    winners = scratch.cut(shaped(named, order, title), "winners")
+    rest = scratch.cut(shaped(unnamed, order, title).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "rest-0")
+    for number, bounds in enumerate(slices(winners)):
+        rest = _dropped(scratch, between(winners, *bounds), rest, threshold, None, f"rest-{number + 1}")
+        scratch.drop(f"rest-{number}")
+    kept = without_copies(rest, threshold)
+    scratch.close()
+    return named.unionByName(_with_kept(unnamed, order, title, kept))
 
 
 def seen_key(identifier: Column, title: Column) -> Column:

@@ -116,6 +116,24 @@ def test_trial_dedupe(spark):
     assert {r.id for r in dedupe.trial_dedupe(df, "name", "title", "id").collect()} == {1, 4, 6}
 
 
+def test_trial_dedupe_by_slices_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "FIRST_ROWS", 20)
+    monkeypatch.setattr(similarity, "SLICE_ROWS", 40)
+    rng = random.Random(6)
+    titles = [" ".join(t.split()) for t in _edited(rng, ["".join(rng.choice("abcdefghijklmno ") for _ in range(28)) for _ in range(40)], 4)]
+    rows = [(i, rng.choice([None, "", f"T-{rng.randint(1, 60)}"]), t) for i, t in enumerate(rng.sample(titles, len(titles)))] + [(900, None, None), (901, "T-1", None)]
+    like = lambda new, kept: bool(new and kept) and SequenceMatcher(None, new, kept).ratio() >= 0.88
+    winners, kept = {}, []
+    for i, name, title in rows:
+        if name:
+            winners.setdefault(name, (i, title))
+    for i, name, title in rows:
+        if not name and not any(like(title, t) for _, t in [*winners.values(), *kept]):
+            kept.append((i, title))
+    got = {r.id for r in dedupe.trial_dedupe(spark.createDataFrame(rows, "id int, name string, title string").repartition(3), "name", "title", "id").collect()}
+    assert got == {i for i, _ in [*winners.values(), *kept]}
+
+
 def test_independent_set_of_a_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "node int")
     edges = spark.createDataFrame([(i, i + 1) for i in range(11)], "first int, second int")
