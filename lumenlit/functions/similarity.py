@@ -18,6 +18,8 @@ from lumenlit.functions.text import collapsed
 UNKNOWN = -(10**9)  # the day of an unknown date
 SLACK = 1e-6  # what rounding may take from a bound
 SHAPE = "k long, t string, day int"
+BLOCK, FIRST_WORDS = 32, 10  # texts whose letters are compared at once, and the words of their signatures that are looked at first
+GROUP = 512  # rows of a greedy pass whose likely copies are found together
 SLICE_ROWS, SLICE_CHARACTERS = 16_000, 8_000_000  # of the texts that a task holds at once
 
 _COMMON = " etaoinsrl"
@@ -61,46 +63,58 @@ class Likeness:
         self.texts = [texts[i] for i in self.order]
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         self.bits = signatures(self.texts)
+        self.by_text = np.ascontiguousarray(self.bits.T)
         self.threshold, self.most_days = threshold, most_days
         self.days = None if most_days is None else np.array(days, np.int64)[self.order]
 
-    def like(self, text: str, bits: np.ndarray, day: int = UNKNOWN, among: np.ndarray | None = None) -> Iterator[tuple[int, float]]:
-        """(place, ratio) of the like texts, the likest letters first; ``among`` (in the order of ``lengths``) may exclude some. ``bits`` is the new text's signature."""
-        size, t = len(text), self.threshold
-        low = np.searchsorted(self.lengths, math.ceil(size * t / (2 - t) - SLACK))
-        high = np.searchsorted(self.lengths, math.floor(size * (2 - t) / t + SLACK), "right")
-        most = (1 - t) * (size + self.lengths[low:high]) + SLACK
-        apart = np.bitwise_count(self.bits[0, low:high] ^ bits[0])
-        apart += np.bitwise_count(self.bits[1, low:high] ^ bits[1])
-        passed = apart <= np.minimum(most, 255).astype(np.uint8)
-        if among is not None:
-            passed &= among[low:high]
-        if self.days is not None and day != UNKNOWN:
-            days = self.days[low:high]
-            passed &= (days == UNKNOWN) | (np.abs(days - day) <= self.most_days)
-        some = np.flatnonzero(passed)
-        apart = apart[some].astype(np.int64)
-        for word in range(2, WORDS):
-            apart += np.bitwise_count(self.bits[word, low + some] ^ bits[word])
-            if word % 2:
-                left = apart <= most[some]
-                some, apart = some[left], apart[left]
-        left = apart <= most[some]
-        some, apart = some[left], apart[left]
-        if not len(some):
+    def likely(self, sizes: np.ndarray, bits: np.ndarray, days: np.ndarray, among: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each new text (its size, signature and day) the places of those that dates, lengths and letters admit, the likest letters first; ``among`` may exclude some."""
+        t, order = self.threshold, np.argsort(sizes, kind="stable")
+        found = [np.zeros(0, np.int64)] * len(sizes)
+        for begin in range(0, len(sizes), BLOCK):
+            rows = order[begin : begin + BLOCK]
+            small, large = int(sizes[rows[0]]), int(sizes[rows[-1]])
+            low = np.searchsorted(self.lengths, math.ceil(small * t / (2 - t) - SLACK))
+            high = np.searchsorted(self.lengths, math.floor(large * (2 - t) / t + SLACK), "right")
+            places = np.arange(low, high) if among is None else low + np.flatnonzero(among[low:high])
+            most = np.minimum((1 - t) * (large + self.lengths[places]) + SLACK, 255).astype(np.uint8)
+            apart = np.zeros((len(rows), len(places)), np.uint8)
+            for word in range(FIRST_WORDS):  # what exceeds a byte starts again at 0 and is admitted
+                apart += np.bitwise_count(self.bits[word, places] ^ bits[rows, word, None])
+            new, at = np.nonzero(apart <= most)
+            new, at = rows[new], places[at]
+            apart = np.bitwise_count(self.by_text[at] ^ bits[new]).sum(axis=1, dtype=np.int64)
+            passed = apart <= (1 - t) * (sizes[new] + self.lengths[at]) + SLACK
+            if self.days is not None:
+                passed &= (days[new] == UNKNOWN) | (self.days[at] == UNKNOWN) | (np.abs(self.days[at] - days[new]) <= self.most_days)
+            new, at, apart = new[passed], at[passed], apart[passed]
+            sorted_ = np.lexsort((apart, new))
+            new, at = new[sorted_], at[sorted_]
+            for row, begin_, end in zip(rows, np.searchsorted(new, rows), np.searchsorted(new, rows, "right")):
+                found[row] = at[begin_:end]
+        return found
+
+    def confirmed(self, text: str, places: np.ndarray) -> Iterator[tuple[int, float]]:
+        """(number, ratio) of the texts in these places that the new text is like."""
+        if not len(places):
             return
-        places: dict[str, int] = {}
+        size, t = len(text), self.threshold
+        bits_of: dict[str, int] = {}
         for i, c in enumerate(text):
-            places[c] = places.get(c, 0) | 1 << i
-        for at in low + some[np.argsort(apart, kind="stable")]:
+            bits_of[c] = bits_of.get(c, 0) | 1 << i
+        for at in places:
             other = self.texts[at]
             if other == text:
                 yield int(self.order[at]), 1.0
-            elif reaches(places, size, other, math.ceil(t * (size + len(other)) / 2 - SLACK)):
+            elif reaches(bits_of, size, other, math.ceil(t * (size + len(other)) / 2 - SLACK)):
                 ratio = SequenceMatcher(None, text, other).ratio()
                 if ratio >= t:
                     yield int(self.order[at]), ratio
 
+    def like(self, text: str, bits: np.ndarray, among: np.ndarray | None = None) -> Iterator[tuple[int, float]]:
+        """(number, ratio) of the texts that the new text, whose signature is ``bits``, is like."""
+        return self.confirmed(text, self.likely(np.array([len(text)]), bits[None], np.array([UNKNOWN]), among)[0])
+
 
 def reaches(places: dict[str, int], size: int, other: str, least: int) -> bool:
     """Whether the longest common subsequence of a text of this size, given the bits where each character stands in it, and another text has so many characters.
@@ -150,9 +164,10 @@ def between(rows: DataFrame, above: int | None, upto: int | None) -> DataFrame:
     return rows if upto is None else rows.where(F.col("k") <= upto)
 
 
-def _signed(frame: pd.DataFrame) -> Iterator[tuple[int, str, int, np.ndarray]]:
-    bits = signatures(texts := frame["t"].tolist())
-    return zip(frame["k"].tolist(), texts, frame["day"].tolist(), bits.T)
+def _signed(frame: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, sizes, signatures and days."""
+    texts = frame["t"].tolist()
+    return texts, np.array([len(t) for t in texts], np.int64), np.ascontiguousarray(signatures(texts).T), frame["day"].to_numpy(np.int64)
 
 
 class Known:
@@ -170,7 +185,8 @@ class Known:
             _, texts, dates = shared.value
             index = Likeness(texts, threshold, dates, days)
             for frame in frames:
-                yield frame[[next(index.like(text, bits, day), None) is None for _, text, day, bits in _signed(frame)]]
+                new, *signed = _signed(frame)
+                yield frame[[next(index.confirmed(text, places), None) is None for text, places in zip(new, index.likely(*signed))]]
 
         return rows.mapInPandas(kept, SHAPE)
 
@@ -182,7 +198,8 @@ class Known:
             keys, texts, _ = shared.value
             index, keys = Likeness(texts, threshold), np.array(keys, np.int64)
             for frame in frames:
-                found = [(int(keys[at]), k, ratio) for k, text, _, bits in _signed(frame) for at, ratio in index.like(text, bits, among=keys[index.order] < k if earlier else None)]
+                new, _, signed, _ = _signed(frame)
+                found = [(int(keys[at]), k, ratio) for k, text, bits in zip(frame["k"].tolist(), new, signed) for at, ratio in index.like(text, bits, keys[index.order] < k if earlier else None)]
                 yield pd.DataFrame(found, columns=["first", "second", "ratio"])
 
         return rows.mapInPandas(paired, "first long, second long, ratio double")
@@ -198,8 +215,13 @@ def first_copies(rows: DataFrame, threshold: float, days: int | None) -> DataFra
         index = Likeness(frame["t"].tolist(), threshold, frame["day"].tolist(), days)
         place = np.argsort(index.order)
         taken = np.zeros(len(frame), bool)
-        for i, (_, text, day, bits) in enumerate(_signed(frame)):
-            taken[place[i]] = next(index.like(text, bits, day, among=taken), None) is None
+        texts, *signed = _signed(frame)
+        for begin in range(0, len(texts), GROUP):
+            some = slice(begin, begin + GROUP)
+            among = taken.copy()
+            among[place[some]] = True
+            for at, text, places in zip(place[some], texts[some], index.likely(*(x[some] for x in signed), among)):
+                taken[at] = next(index.confirmed(text, places[taken[places]]), None) is None
         yield frame[taken[place]]
 
     return rows.repartition(1).mapInPandas(kept, SHAPE)
