@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,27 @@ def test_the_comment_stream_stores_comments_and_not_their_recipients(spark, sf,
     monkeypatch.setattr(stream_queries, "_through", lambda spark, stream: stored.append(through(spark, stream)) or stored[-1])
     rows = stream_queries.comment_notify_stream(spark, sf)
     assert rows.count() > 5 * stored[0].count() > 0
+
+
+def test_blocks_of_alerts_give_the_rows_of_single_ones(spark):
+    *people, alerts = _feed_tables(spark)
+    more = spark.range(2000).select((F.col("id") + 1000).cast("int").alias("alert_id"), F.lit(1).alias("site_id"), F.lit("PUBLISHED").alias("status"), F.expr("case when id % 7 = 0 then null when id % 7 < 3 then 'NOISE' else 'B' end").alias("tier"), F.expr("case when id % 2 = 0 then 'direct' end").alias("relevance"), F.lit(None).cast("timestamp").alias("published_at"))
+    alerts = alerts.unionByName(more)
+    readers = feed.feed_readers(*people)
+    singly = feed.fan_out(readers, feed._published(alerts), "site_id", "user_id").where(feed._admitted())
+    got = feed.feed_of(readers, alerts)
+    rows = lambda df: Counter(map(tuple, df.select(*got.columns).collect()))
+    assert rows(got) == rows(singly) and max(rows(got).values()) > 1 and sum(rows(got).values()) > 4 * feed.BLOCK
+
+
+def test_a_feed_is_stored_in_a_fraction_of_a_byte_a_row(spark, tmp_path):
+    readers = spark.range(450).select(F.col("id").alias("user_id"), F.lit("a@x").alias("email"), F.lit("custom").alias("specialty"), F.element_at(F.array(*map(F.lit, "ABC")), (F.col("id") % 3 + 1).cast("int")).alias("min_tier"), F.lit(1).alias("site_id"), F.lit("gu").alias("site_code"), F.lit(False).alias("relevant_only"))
+    alerts = spark.range(12000).select(F.hash("id").alias("alert_id"), F.lit(1).alias("site_id"), F.lit("PUBLISHED").alias("status"), F.element_at(F.array(*map(F.lit, "ABC")), (F.col("id") % 3 + 1).cast("int")).alias("tier"), F.lit("direct").alias("relevance"), F.lit(None).cast("timestamp").alias("published_at"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        feed.feed_of(readers, alerts).select("user_id", "alert_id", "tier").write.parquet(str(tmp_path / "feed"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stored = sum(p.stat().st_size for p in (tmp_path / "feed").glob("*.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "feed")).count()
+    assert rows == 450 * 8000 and stored < 0.5 * rows, stored / rows
