@@ -201,11 +201,12 @@ def title_gaps(wanted: DataFrame, present: DataFrame, key: str, tokens: str, thr
     sizes_of = lambda df: sorted(r.n for r in df.select(F.size("set").alias("n")).distinct().collect())  # noqa: E731  a row for each size of a title
     asked_sizes, offered_sizes = sizes_of(asked), sizes_of(offered)
     keyed = asked.select(F.col("set").alias("a"), F.explode(_subset_keys(offered_sizes, threshold, True)("set")).alias("key"))
-    near = keyed.join(offered.select(F.explode(_subset_keys(asked_sizes, threshold, False)("set")).alias("key")).distinct(), "key", "left_semi").select("a")
+    # merge joins: sizes are estimated without the subsets, so that any of these would be sent to the driver as if it were small
+    near = keyed.join(offered.select(F.explode(_subset_keys(asked_sizes, threshold, False)("set")).alias("key")).distinct().hint("merge"), "key", "left_semi").select("a")
     many = [(a, b) for a in asked_sizes for b in offered_sizes if least_common(a, b, threshold) <= min(a, b) and not _by_subsets(a, b, threshold)]
     if many:
         near = near.unionByName(_near_by_pairs(asked, offered, spark.createDataFrame(many, "na int, nb int"), threshold))
-    return wanted.withColumn("a", F.array_sort(tokens)).join(near.distinct(), "a", "left_anti").drop("a")
+    return wanted.withColumn("a", F.array_sort(tokens)).join(near.distinct().hint("merge"), "a", "left_anti").drop("a")
 
 
 def _near_by_pairs(asked: DataFrame, offered: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
@@ -215,14 +216,14 @@ def _near_by_pairs(asked: DataFrame, offered: DataFrame, sizes: DataFrame, thres
     frequency = asked.unionByName(offered).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("often"))
 
     def indexed(sets: DataFrame, name: str) -> DataFrame:
-        worded = sets.select(F.col("set").alias(name), F.explode("set").alias("token")).join(frequency, "token")
+        worded = sets.select(F.col("set").alias(name), F.explode("set").alias("token")).join(frequency.hint("merge"), "token")
         rarest = worded.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
         most = F.size(name) - F.ceil(F.size(name) * threshold).cast("int") + 1
         return rarest.select(name, F.explode(F.transform(F.slice("ranked", F.lit(1), most), lambda r: r["token"])).alias("token"))
 
     # few bytes but many pairs: a fixed number of partitions keeps the work spread
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = indexed(asked, "a").repartition(parts, "a").join(indexed(offered, "b"), "token")
+    pairs = indexed(asked, "a").repartition(parts, "token").join(indexed(offered, "b").repartition(parts, "token").hint("merge"), "token")
     near_sizes = (F.size("b") >= F.size("a") * threshold) & (F.size("a") >= F.size("b") * threshold)
     common = F.size(F.array_intersect("a", "b"))
     return pairs.where(near_sizes).where(common >= threshold * (F.size("a") + F.size("b") - common)).select("a").distinct()

@@ -168,6 +168,16 @@ def test_title_gaps_equal_brute_force_by_subsets_and_by_pairs(spark, monkeypatch
     assert ("array_intersect" in gaps._jdf.queryExecution().optimizedPlan().toString()) == (most < 500)
 
 
+@pytest.mark.parametrize("most", [500, 0])
+def test_title_gaps_send_no_subsets_or_words_to_the_driver(spark, monkeypatch, most):
+    monkeypatch.setattr(dedupe, "MOST_SUBSETS", most)
+    a = spark.createDataFrame([(i, [f"w{i}", f"w{i + 1}", "v"]) for i in range(9)], "id int, tokens array<string>")
+    gaps = dedupe.title_gaps(a, a.where("id > 4"), "id", "tokens")
+    assert {r.id for r in gaps.collect()} == {0, 1, 2, 3}
+    sent = [x for x in gaps._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "[n" not in x and "size(" not in x]
+    assert not sent, sent
+
+
 @pytest.mark.parametrize("cap, want", [(0, {0, 1, 2, 3, 4, 5, 6}), (1, {0, 1}), (4, {0, 1, 3, 4}), (6, {0, 1, 2, 3, 4, 5}), (50, {0, 1, 2, 3, 4, 5, 6})])
 def test_caps(spark, cap, want):
     rows = [(0, "A", 1.0, "x"), (1, "A", 9.0, "x"), (2, "B", 5.0, "x"), (3, "B", 7.0, "x"), (4, "B", 7.0, "x"), (5, "C", 99.0, "x"), (6, "C", None, "x")]
