@@ -208,6 +208,42 @@ def test_the_comment_stream_stores_comments_and_not_their_recipients(spark, sf,
     assert rows.count() > 5 * stored[0].count() > 0
 
 
+def _told_and_readers(spark):
+    told = spark.range(3000).select(F.hash("id").cast("long").alias("comment_id"), (F.col("id") % 2).cast("int").alias("site_id"), F.when(F.col("id") % 50 != 7, F.col("id") % 900).alias("author"))
+    readers = spark.range(1500).select((F.col("id") % 3).cast("int").alias("site_id"), F.concat(F.lit("User"), F.hash("id"), F.lit("@Mail.example")).alias("email"), (F.col("id") % 700).alias("account_id"))
+    return told.unionByName(told.limit(20)), readers.unionByName(readers.limit(30))
+
+
+def test_tiles_of_comments_and_readers_give_the_rows_of_a_plain_join(spark, monkeypatch):
+    told, readers = _told_and_readers(spark)
+    want = Counter(map(tuple, told.join(readers, "site_id").where("account_id <> author").select("comment_id", "email").collect()))
+    for run, tile, part in ((feed.RUN, feed.TILE, feed.PART), (7, 21, 100)):
+        for name, value in (("RUN", run), ("TILE", tile), ("PART", part)):
+            monkeypatch.setattr(feed, name, value)
+        assert Counter(map(tuple, feed.told_recipients(told, readers).collect())) == want and max(want.values()) > 1
+    assert feed.told_recipients(told.where("false"), readers).count() == feed.told_recipients(told, readers.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("distinct", [False])
+def test_recipients_are_stored_in_a_fraction_of_a_byte_a_row(spark, tmp_path, distinct):
+    told, readers = _told_and_readers(spark)
+    told, readers = told.withColumn("site_id", F.lit(1)), readers.withColumn("site_id", F.lit(1))
+    if distinct:
+        comments = told.select("comment_id", F.lit(1).alias("alert_id"), "author")
+        users, accounts = readers.select("account_id", "email").distinct(), readers.select("account_id", "email", F.lit(True).alias("notify"))
+        subs = users.select(F.col("account_id").alias("user_id"), F.lit(1).alias("site_id"), F.lit(True).alias("is_active")).distinct()
+        rows = feed.comment_recipients(comments, spark.createDataFrame([(1, 1)], "alert_id int, site_id int"), subs, users.withColumnRenamed("account_id", "user_id"), accounts)
+    else:
+        rows = feed.told_recipients(told, readers)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        rows.write.parquet(str(tmp_path / "told"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stored, n = sum(p.stat().st_size for p in (tmp_path / "told").glob("*.parquet")), spark.read.parquet(str(tmp_path / "told")).count()
+    assert n > 4_000_000 and stored < 0.7 * n, stored / n
+
+
 def test_blocks_of_alerts_give_the_rows_of_single_ones(spark):
     *people, alerts = _feed_tables(spark)
     more = spark.range(2000).select((F.col("id") + 1000).cast("int").alias("alert_id"), F.lit(1).alias("site_id"), F.lit("PUBLISHED").alias("status"), F.expr("case when id % 7 = 0 then null when id % 7 < 3 then 'NOISE' else 'B' end").alias("tier"), F.expr("case when id % 2 = 0 then 'direct' end").alias("relevance"), F.lit(None).cast("timestamp").alias("published_at"))
