@@ -224,7 +224,7 @@ def test_tiles_of_comments_and_readers_give_the_rows_of_a_plain_join(spark, monk
     assert feed.told_recipients(told.where("false"), readers).count() == feed.told_recipients(told, readers.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("distinct", [False])
+@pytest.mark.parametrize("distinct", [False, True])
 def test_recipients_are_stored_in_a_fraction_of_a_byte_a_row(spark, tmp_path, distinct):
     told, readers = _told_and_readers(spark)
     told, readers = told.withColumn("site_id", F.lit(1)), readers.withColumn("site_id", F.lit(1))
